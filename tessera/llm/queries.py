@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, spam
+from . import leaks, pairs, spam, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = truncation.generation_texts(table(spark, folder, "generations"))
+    return truncation.find_truncated(rows).filter("cut").select(F.col("id").cast("long").alias("gen_id"))
+
+
+def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source truncates."""
+    return truncation.truncation_rates(table(spark, folder, "generations")).withColumn("cut_share", F.round("cut_share", 6))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pairs.pair_rows(table(spark, folder, "goody"), table(spark, folder, "eval_results"), table(spark, folder, "processed_rows"))
+    return pairs.find_defects(rows)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     hits = leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
     return hits.select("doc_id", "item_id")
@@ -26,7 +41,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p7_found, p8_found)}
+    return {f.__name__: f for f in (p3_found, p3_rates, p4_found, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
