@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +19,7 @@ CONF = {
 
 def build(master: str = "local[*]", app: str = "tessera", **conf: str) -> SparkSession:
     """A session with the library's settings; conf (dots as double underscores) wins over them."""
-    b = SparkSession.builder.master(master).appName(app).config("spark.ui.enabled", "false")
+    b = SparkSession.builder.master(master).appName(app).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for k, v in {**CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
@@ -41,3 +43,29 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back: later reads neither recompute it nor depend on an executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared checkpoint folder, for loops: unlike a checkpoint, which carries the size
+    estimates of its plan on, the next round starts from the size on disk. The tables are deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _tables:
+        atexit.register(drop_tables)
+    _tables.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables() -> None:
+    """Delete the written tables of this driver; a session that has stopped already leaves them to the folder's owner."""
+    while _tables:
+        spark, path = _tables.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone
+            return
