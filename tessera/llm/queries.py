@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, pairs, spam, truncation
+from . import leaks, packing, pairs, spam, splits, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,27 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.find_defects(rows)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.same_entity_pairs(table(spark, folder, "processed_rows"), table(spark, folder, "scenes"))
+
+
+def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The split of every row of processed_rows and scenes."""
+    rows = splits.assign_splits(table(spark, folder, "processed_rows"), table(spark, folder, "scenes"), table(spark, folder, "split_shares"))
+    return rows.select("row_table", "row_id", "split_name")
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    capacity = packing.capacity_of(table(spark, folder, "size_limits"))
+    return packing.pack(table(spark, folder, "documents"), capacity)
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers are."""
+    capacity = packing.capacity_of(table(spark, folder, "size_limits"))
+    return packing.fill_report(packing.pack(table(spark, folder, "documents"), capacity), capacity)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     hits = leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
     return hits.select("doc_id", "item_id")
@@ -41,7 +62,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_rates, p4_found, p7_found, p8_found)}
+    return {f.__name__: f for f in (p3_found, p3_rates, p4_found, p5_found, p5_splits, p6_containers, p6_fill, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
