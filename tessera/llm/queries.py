@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leaks, packing, pairs, spam, splits, truncation
+from . import leaks, packing, pairs, pieces, spam, splits, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    cut = pieces.split_books_and_scenes(table(spark, folder, "books"), table(spark, folder, "scenes"), table(spark, folder, "size_limits"))
+    return cut.filter("n_pieces > 1 and piece_no = 0").select("record_kind", "record_id")
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All pieces, with their stretches of text joined by line breaks."""
+    cut = pieces.split_books_and_scenes(table(spark, folder, "books"), table(spark, folder, "scenes"), table(spark, folder, "size_limits"))
+    return cut.select("record_kind", "record_id", "piece_no", "n_pieces", "start", "end", "overlap", F.array_join("parts", "\n").alias("text"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = truncation.generation_texts(table(spark, folder, "generations"))
     return truncation.find_truncated(rows).filter("cut").select(F.col("id").cast("long").alias("gen_id"))
@@ -62,8 +73,16 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_rates, p4_found, p5_found, p5_splits, p6_containers, p6_fill, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_rates, p4_found, p5_found, p5_splits, p6_containers, p6_fill, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": """
+            WITH b AS (SELECT id, text FROM (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, (text IS NULL)::INT) AS n FROM books) WHERE n = 1),
+                 s AS (SELECT scene_id, max(list_sum(list_transform(elements, e -> coalesce(length(e.content), 0)))) AS size FROM scenes GROUP BY scene_id)
+            SELECT 'book' AS record_kind, id AS record_id FROM b WHERE length(text) > (SELECT max_size FROM size_limits WHERE applies_to = 'books')
+            UNION ALL
+            SELECT 'scene', scene_id FROM s WHERE size > (SELECT max_size FROM size_limits WHERE applies_to = 'scenes')
+        """
+    }
