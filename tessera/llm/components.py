@@ -14,7 +14,7 @@ def components(edges: DataFrame, most: int = 200) -> DataFrame:
     """v, label of every vertex of the undirected edges (a, b); loops and repeated edges are allowed, nulls are dropped.
 
     Each round every vertex throws a coin (a hash of its name and the round); a tail that touches a head collapses into
-    its least head, and edges are renamed, until none is left. Names are then unwound from the last round to the first.
+    its least head, and edges are renamed, until none is left. Labels are then unwound by joining the rounds on themselves.
     Only distinct edges are shuffled, collapses are found by a pre-aggregated minimum, and no vertex gathers its
     neighbours, so a vertex of any degree is no hot task.
     """
@@ -38,12 +38,11 @@ def components(edges: DataFrame, most: int = 200) -> DataFrame:
         raise RuntimeError(f"edges are left after {most} rounds")
     if not rounds:
         return edges.select(F.col("a").cast(kind).alias("v"), F.col("a").cast(kind).alias("label")).filter("a is not null and b is not null").distinct()
-    names = rounds[-1].select("v", F.col("parent").alias("label"))
-    for k, into in enumerate(reversed(rounds[:-1])):
-        later = names.select(F.col("v").alias("parent"), "label")
-        names = into.join(later, "parent", "left").select("v", F.coalesce("label", "parent").alias("label")).unionByName(names)
-        if k % 6 == 5:
-            names = cut(names)
-    names = cut(names)
+    # every vertex has collapsed once at most, so the rounds together are a forest; pointer jumping finds its roots
+    names = reduce(DataFrame.unionByName, rounds)
+    for _ in range(max(1, (len(rounds) - 1).bit_length())):
+        above = names.select(F.col("v").alias("parent"), F.col("parent").alias("above"))
+        names = cut(names.join(above, "parent", "left").select("v", F.coalesce("above", "parent").alias("parent")))
+    names = names.withColumnRenamed("parent", "label")
     ends = reduce(DataFrame.unionByName, [edges.select(F.col(c).alias("v")) for c in ("a", "b")]).filter("v is not null").distinct()
     return ends.join(names, "v", "left").select("v", F.coalesce("label", "v").alias("label"))

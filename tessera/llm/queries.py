@@ -80,7 +80,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """
             WITH b AS (SELECT id, text FROM (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST, (text IS NULL)::INT) AS n FROM books) WHERE n = 1),
-                 s AS (SELECT scene_id, max(list_sum(list_transform(elements, e -> coalesce(length(e.content), 0)))) AS size FROM scenes GROUP BY scene_id)
+                 s AS (SELECT scene_id, max(list_sum(list_transform(elements, lambda e: coalesce(length(e.content), 0)))) AS size FROM scenes GROUP BY scene_id)
             SELECT 'book' AS record_kind, id AS record_id FROM b WHERE length(text) > (SELECT max_size FROM size_limits WHERE applies_to = 'books')
             UNION ALL
             SELECT 'scene', scene_id FROM s WHERE size > (SELECT max_size FROM size_limits WHERE applies_to = 'scenes')
