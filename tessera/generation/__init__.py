@@ -1,0 +1 @@
+"""Generation by a pluggable model client, tool calls, episodes and tasks."""
