@@ -71,7 +71,7 @@ def merged(conv: Column, sep: str = "") -> Column:
 def merge_turns(turns: DataFrame, key: str, order: list[str], role: str, text: str, sep: str = "") -> DataFrame:
     """Successive turns of one role as one, in the long form: key, run, role, text, n_turns, in the order of `order` (which must be total)."""
     w = Window.partitionBy(key).orderBy(*order)
-    changed = (~F.col(role).eqNullSafe(F.lag(role).over(w))).cast("int")
+    changed = ((F.row_number().over(w) == 1) | ~F.col(role).eqNullSafe(F.lag(role).over(w))).cast("int")
     runs = turns.select(key, role, text, *[o for o in order if o not in (key, role, text)]).withColumn("_c", changed).withColumn("_n", F.row_number().over(w)).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     said = F.transform(F.array_sort(F.collect_list(F.struct("_n", text))), lambda x: x[text])
     return runs.groupBy(key, "run").agg(F.min(role).alias(role), F.array_join(said, sep).alias(text), F.count("*").alias("n_turns"))

@@ -19,7 +19,8 @@ def slop_index(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: s
     long as its size allows and joins by shuffle beyond that. Rows of a key are added up before the shuffle.
     """
     toks = docs.select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    grams = F.concat(*(F.transform(ngrams(F.col("t"), n) if n > 1 else F.col("t"), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("phrase"))) for n in (1, 2, 3)))
+    counted = lambda n: F.transform(ngrams(F.col("t"), n) if n > 1 else F.col("t"), lambda g: F.struct(F.lit(n).alias("n"), g.alias("phrase")))
+    grams = F.concat(*map(counted, (1, 2, 3)))
     flat = toks.select(key, F.size("t").alias("n_tokens"), F.explode_outer(grams).alias("g")).select(key, "n_tokens", "g.n", "g.phrase")
     listed = phrases.select(F.col("n").cast("int").alias("n"), "phrase").distinct().withColumn("weight", F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("n")])
     hits = flat.join(listed, ["n", "phrase"], "left")

@@ -1,42 +1,16 @@
-"""The queries of the library by name, and the SQL that checks them."""
+"""All queries of the library outside the subpackage for language models, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import conversation_queries, nested_queries, selection_queries, task_queries, text_queries
+from .registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..operators import nested
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.listed_children(nested.flatten_episodes(table(spark, folder, "episodes")))
-
-
-def p2_tool_uses(spark: SparkSession, folder: str) -> DataFrame:
-    """The typed table of tool calls with its links to the message."""
-    return nested.typed_table(nested.flatten_episodes(table(spark, folder, "episodes")), "block_tool_use")
-
-
-def p2_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.typed_table(nested.flatten_episodes(table(spark, folder, "episodes")), "metric")
-
-
-def p2_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each structural variant occurs."""
-    return nested.flatten_episodes(table(spark, folder, "episodes")).groupBy("level", "variant", "shape").agg(F.count("*").alias("n"))
+__all__ = ["conversation_queries", "nested_queries", "oracle_sql", "queries", "selection_queries", "task_queries", "text_queries"]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_tool_uses, p2_metrics, p2_shapes)}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
