@@ -81,9 +81,9 @@ def is_narrative(p: Column, min_words: int = 15) -> Column:
     return (count_words(p) >= min_words) & ~is_metadata(p) & ~is_chapter_heading(p)
 
 
-def is_title_or_other(p: Column, min_length: int = 5) -> Column:
-    """Titles, credits and other lines that are no running text."""
-    s = stripped(p)
+def is_title_or_other(p: Column, min_length: int = 5, s: Column | None = None) -> Column:
+    """Titles, credits and other lines that are no running text. s: the stripped paragraph, where it is at hand."""
+    s = stripped(p) if s is None else s
     low = F.lower(s)
     n = F.length(s)
     quoted = (occurrences(s, '"') == 2) | (occurrences(s, "'") == 2) | s.endswith(":")
@@ -103,8 +103,8 @@ def is_title_or_other(p: Column, min_length: int = 5) -> Column:
     )
 
 
-def is_table(p: Column) -> Column:
-    s = stripped(p)
+def is_table(p: Column, s: Column | None = None) -> Column:
+    s = stripped(p) if s is None else s
     wide = lambda c: (occurrences(c, "   ") > 3) | (occurrences(c, "\t") > 2)
     joined = F.array_join(F.transform(F.split(s, "\n"), stripped), " ")
     return (wide(s) & wide(joined)) | (occurrences(s, "*") > 3) | (occurrences(s, "=") > 2)
@@ -114,8 +114,8 @@ def is_image(p: Column) -> Column:
     return F.lower(p).rlike(IMAGE)
 
 
-def is_footnote(p: Column) -> Column:
-    s = stripped(p)
+def is_footnote(p: Column, s: Column | None = None) -> Column:
+    s = stripped(p) if s is None else s
     return (F.lower(s).contains("footnote") & (F.length(F.replace(s, F.lit(" "), F.lit(""))) < 50)) | s.rlike(r"^\{.+\}|^\[.+\]")
 
 
@@ -131,14 +131,16 @@ def starts_formatted(p: Column) -> Column:
     return p.rlike(FORMATTED)
 
 
-def is_boilerplate(p: Column, min_length: int = 5) -> Column:
-    """Any of the paragraph kinds that cleaning drops."""
-    return is_image(p) | is_footnote(p) | is_email(p) | is_copies_note(p) | is_table(p) | is_title_or_other(p, min_length) | starts_formatted(p)
+def is_boilerplate(p: Column, min_length: int = 5, s: Column | None = None) -> Column:
+    """Any of the paragraph kinds that cleaning drops; the cheap and frequent ones are tested first."""
+    s = stripped(p) if s is None else s
+    return starts_formatted(p) | is_title_or_other(p, min_length, s) | is_table(p, s) | is_footnote(p, s) | is_image(p) | is_copies_note(p) | is_email(p)
 
 
 def clean_paragraphs(text: Column, separator: str = "\n\n", min_length: int = 5) -> Column:
     """The paragraphs of a text that are running text."""
-    return F.filter(F.split(text, separator), lambda p: ~is_boilerplate(p, min_length))
+    both = F.transform(F.split(text, separator), lambda p: F.struct(p.alias("p"), stripped(p).alias("s")))  # stripped once for all tests
+    return F.transform(F.filter(both, lambda x: ~is_boilerplate(x["p"], min_length, x["s"])), lambda x: x["p"])
 
 
 def clean_message(c: Column, most: int | None = None) -> Column:

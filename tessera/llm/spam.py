@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,18 +32,29 @@ FUNCTION_WORDS = frozenset(
     и в во не на что он она они с у к до по из за но а все это его ее был была""".split()
 )
 
-WORD = re.compile(r"[^\W_]+")
 HAN = re.compile(r"[぀-ヿ㐀-鿿]")
 DOMAIN = r"(?:example|invalid|test|com|net|org|info|biz|io|ru|cn|de|shop|xyz|top|site|online)"
 LINK = re.compile(rf"""<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\n]*\)|(?:[a-z]{{3,6}}:)?//[^\s<>"|,]+|\bwww\.[^\s<>"|,]+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.{DOMAIN}\b(?:/[^\s<>"|,]*)?""", re.I)
-LINKED = re.compile(rf"//|\]\(|www\.|<a\s|\w\.{DOMAIN}\b", re.I)
+LINKED = re.compile(rf"//|\]\(|www\.|<a\s|\.{DOMAIN}\b", re.I)
 HASHTAG = re.compile(r"(?<!\w)#[^\W\d_]\w*")
-STOP = re.compile(r"""(?<!\.)[.!?…][”"'’)\]]*(?=\s|$)|[。！？]""")
+STOP = re.compile(r"""[.!?…](?<!\.\.)[”"'’)\]]*(?=\s|$)|[。！？]""")
 SEPARATOR = re.compile(r"[,|;•·]|\s[-–—]\s")
-PART = re.compile(r"""(?<=[^\W\d][^\W\d][.!?…])[”"'’)\]]*\s+|(?<=[。！？])|\n""")
+PART = re.compile(r"""[.!?…](?<=[^\W\d][^\W\d].)[”"'’)\]]*\s+|[。！？]|\n""")
+WORD_MARKED, HAN_MARKED = re.compile(r"[^\W_]+|\x02"), re.compile(r"[぀-ヿ㐀-鿿]|\x02")
 NUMBERED = re.compile(r"\s*(?:\d{1,3}[.)]|[IVXLC]{1,8}\.|[-*•]\s*\d)\s")
 
 
+def words_of(parts: list[str], rx: re.Pattern) -> list[list[str]]:
+    """The words of each part, found in one pass over all of them."""
+    out: list[list[str]] = [[]]
+    for w in rx.findall("\x02".join(parts)):
+        if w == "\x02":
+            out.append([])
+        else:
+            out[-1].append(w)
+    return out
+
+
 def measure(text: str) -> list[float]:
     """The features of one text, in the order of FEATURES.
 
@@ -62,22 +72,26 @@ def measure(text: str) -> list[float]:
         tags = sum(map(len, HASHTAG.findall(bare)))
     parts = [p for p in PART.split(bare.lower()) if p and not p.isspace()]
     han = not bare.isascii() and len(HAN.findall(bare)) > 0.3 * size
-    split = HAN.findall if han else WORD.findall
-    told = [split(p) for p in parts]
+    told = words_of(parts, HAN_MARKED if han else WORD_MARKED)
     w = [x for p in told for x in p]
     n = max(1, len(w))
     known = FUNCTION_WORDS.__contains__
-    count = Counter(x for x in w if not known(x))
-    pairs = Counter(zip(w, w[1:]))
-    top, pair = 0, None
-    for k, v in pairs.items():
-        if v > top and not known(k[0]) and not known(k[1]):
-            top, pair = v, k
+    ids: dict[str, int] = {}
+    code = np.fromiter((ids.setdefault(x, len(ids)) for x in w), np.int64, len(w))
+    names = list(ids)
+    m = len(names)
+    own = np.fromiter((not known(x) for x in names), bool, m)  # no function word
+    seen = np.bincount(code, minlength=m)
+    pairs, times = np.unique(code[:-1] * m + code[1:], return_counts=True) if len(w) > 1 else (code[:0], code[:0])
+    content = times * (own[pairs // m] & own[pairs % m]) if m else times
+    k = int(content.argmax()) if len(content) else 0
+    top = int(content[k]) if len(content) else 0
+    pair = (names[pairs[k] // m], names[pairs[k] % m]) if top else None
     kept = pair is not None and top >= 4 and 2 * top >= (0.2 if han else 0.1) * n
     good = every = 0
     for p, x in zip(parts, told):
         every += len(p)
-        if not x or p.count("#") > 1 or p.count("\x01") * 8 > len(x):
+        if not x or (tags and p.count("#") > 1) or (links and p.count("\x01") * 8 > len(x)):
             continue
         if kept and any(a == pair for a in zip(x, x[1:])):
             continue
@@ -92,10 +106,10 @@ def measure(text: str) -> list[float]:
     return [
         float(n),
         2 * top / n,
-        (max(count.values()) / n) if count else 0.0,
-        sum(v for v in pairs.values() if v >= 3) / n,
-        len(set(w)) / n**0.8,
-        sum(map(known, w)) / n,
+        float((seen * own).max() / n) if m else 0.0,
+        float(times[times >= 3].sum() / n),
+        m / n**0.8,
+        float((seen * ~own).sum() / n),
         links / size,
         tags / size,
         len(STOP.findall(bare)) / n,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,3 +76,20 @@ def write_pages(df: DataFrame, path: str, title: str, turns: str) -> None:
 def write_shards(df: DataFrame, path: str, per_shard: int = 1000) -> None:
     """Shards of at most `per_shard` rows."""
     write_parquet(df, path, per_file=per_shard)
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """Settings as one JSON file."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(json.dumps(settings, indent=2, sort_keys=True).encode()))
+    finally:
+        out.close()
+
+
+def log_samples(df: DataFrame, path: str, columns: list[str], step: int) -> None:
+    """Evaluation samples of a step appended to a log, as one-line texts."""
+    from ..operators.datasets import sample_log
+
+    sample_log(df, columns).withColumn("step", F.lit(step)).write.mode("append").parquet(path)
