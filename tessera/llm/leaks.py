@@ -179,7 +179,7 @@ def stock_free(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text", line.alias("_line")).join(shared, "_line", "left").select("item_id", F.when(F.col("_stock"), cut).otherwise(F.col("text")).alias("text"))
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least: int = 30, identity: float = 0.8, seeds: int = 6, width: int = 24, block: int = 2000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, least: int = 30, identity: float = 0.82, seeds: int = 6, width: int = 24, block: int = 2000) -> DataFrame:
     """Documents that hold at least `least` successive words of a test item, one row per document and item.
 
     Words are compared as read, not as typed (case, accents, lookalike letters, markup, line-end hyphens, unseen
