@@ -6,7 +6,7 @@ import re
 
 # Frequent words that tell a language from the others here.
 MARKERS = {
-    "en": "the and of to in is was it that with as for on are be by this or an at from but not have which you they she he his her who would had there if nobody what when",
+    "en": "the and of to in is was it that with as for on are be by this or an at from but not have which you they she he his her who would had there if nobody what when how why do does should about over tell describe explain compare continue write compose give list let make story night chapter who whose without using near under know",
     "de": "der die das und nicht ist ein eine den dem des zu mit auf im am von als wenn dann auch noch wird war sie ich wie warum über kurz nach bis es sich aber oder hatten einmal bevor wusste",
     "fr": "le les des et est une un du que qui ne pas plus dans sur avec pour au aux il elle se ce cette mais où pourquoi quand même jusqu ils son sa alors sera était et encore fois avant personne",
     "es": "el los las y es una un de que en por con para se su al lo pero como más si qué cuando hasta muy fue no había porque entonces tampoco otra vez antes nadie por sobre",

@@ -44,7 +44,7 @@ def whole_character(text: str, at: int, least: int) -> int:
 def cuts(text: str, most: int, overlap: int, extra: list[int] | None = None) -> list[tuple[int, int]]:
     """start and end of the new text of each piece (without the overlap). extra: boundaries above all levels, of a text put together of elements.
 
-    A piece but the last has at least `overlap` new characters, so that the next one can repeat that much of it.
+    The first piece has at least `overlap` characters, as every later one has with what it repeats, so that each can be repeated that far.
     """
     if len(text) <= most:
         return [(0, len(text))]
@@ -60,7 +60,7 @@ def cuts(text: str, most: int, overlap: int, extra: list[int] | None = None) ->
         to = at
         for ends in levels:
             k = bisect_right(ends, room) - 1
-            if k >= 0 and ends[k] > at and ends[k] >= at + overlap:
+            if k >= 0 and ends[k] > at and (out or ends[k] >= overlap):
                 to = ends[k]
                 break
         else:

@@ -145,7 +145,7 @@ def page_features(documents: DataFrame) -> DataFrame:
                 names=["doc_id", "host", "x", "label"],
             )
 
-    return documents.filter(F.length(F.trim("text")) > 0).mapInArrow(run, "doc_id long, host string, x array<double>, label int")
+    return documents.filter(F.col("text").rlike(r"\S")).mapInArrow(run, "doc_id long, host string, x array<double>, label int")
 
 
 def find_spam(documents: DataFrame, sample: int = 4000, trees: int = 25, depth: int = 6, prior: float = 20.0, pull: float = 0.15, threshold: float = 0.5) -> DataFrame:
@@ -181,6 +181,6 @@ def find_spam(documents: DataFrame, sample: int = 4000, trees: int = 25, depth:
     total = sums.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     mean = (total.s or 0.0) / max(1, total.n or 0)
     rates = sums.filter(F.col("host").isNotNull()).select("host", ((F.col("s") + prior * mean) / (F.col("n") + prior)).alias("host_rate"))
-    blank = docs.filter(F.col("text").isNull() | (F.length(F.trim("text")) == 0)).select("doc_id", "host", F.lit(0.0).alias("page_score"))
+    blank = docs.filter(F.col("text").isNull() | ~F.col("text").rlike(r"\S")).select("doc_id", "host", F.lit(0.0).alias("page_score"))
     joined = pages.unionByName(blank).join(rates, "host", "left").withColumn("host_rate", F.coalesce("host_rate", F.lit(mean)))
     return joined.select("doc_id", "host", "page_score", "host_rate", ((1 - pull) * F.col("page_score") + pull * F.col("host_rate")).alias("score")).withColumn("is_spam", (F.col("score") >= threshold) & (F.col("page_score") > 0))
