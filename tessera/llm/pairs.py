@@ -85,7 +85,7 @@ def is_copy(question: str, answer: str) -> bool:
     for t in tries:
         k = max(1, round(len(t) / len(q)))
         m = SequenceMatcher(None, q * k, t, autojunk=False)
-        if m.real_quick_ratio() > 0.72 and m.quick_ratio() > 0.72 and m.ratio() > 0.72:
+        if m.real_quick_ratio() > 0.66 and m.quick_ratio() > 0.66 and m.ratio() > 0.66:
             return True
     return False
 
@@ -114,9 +114,9 @@ def foreign(question: str, answer: str) -> bool:
     if own is None or ASKED.search(question):
         return False
     quoted = sum(language(q) not in (None, own) for q in QUOTED.findall(answer))
-    strange = [s for s in sentences(QUOTED.sub(" ", answer)) if (code := language(s)) is not None and code != own and len(s) >= 4]
-    long = [s for s in strange if len(TOKEN.findall(s)) >= 4]
-    return len(long) + max(0, quoted - 1) >= 1
+    bare = sentences(QUOTED.sub(" ", answer))
+    strange = sum(language(s) not in (None, own) and len(TOKEN.findall(s)) >= 4 for s in bare)
+    return strange >= 2 or (strange == 1 and 2 * strange >= len(bare)) or quoted >= 2
 
 
 def rule(question: str | None, answer: str | None, both: bool) -> str | None:
