@@ -199,7 +199,7 @@ def dice_rolls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(text, '^[^.]*'), ','), lambda x: trim(x)), lambda x: x <> ''))) AS s FROM documents WHERE text IS NOT NULL)
+    r"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(text, '^[^.]*'), ','), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS s FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, len(s)::INT AS n, array_to_string(s, '|') AS parts FROM d"""
 )
 def comma_groups(spark: SparkSession, folder: str) -> DataFrame:
