@@ -53,7 +53,11 @@ def rough_tokens(c: Column) -> Column:
 
 def ngrams(toks: Column, n: int) -> Column:
     """Every n successive tokens, joined by spaces; none if there are fewer."""
-    return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(toks, i, n)))).otherwise(F.array().cast("array<string>"))
+    m = F.greatest(F.size(toks) - (n - 1), F.lit(0))
+    out = F.slice(toks, 1, m)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(toks, k + 1, m), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def occurrences(c: Column, what: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.text import FRONT_MATTER, HEADING, clean_paragraphs
+from ..session import spread
 
 # Line starts before the text, after the text, and around legal notes.
 START_MARKERS = (
@@ -215,7 +216,7 @@ def per_row(df: DataFrame, key: str, column: str, of: Callable, name: str, kind:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(x) for x in b.column(1).to_pylist()], made)], names=[key, name])
 
     made = to_arrow_type(_parse_datatype_string(kind))
-    return df.select(key, column).mapInArrow(run, schema)
+    return spread(df.select(key, column)).mapInArrow(run, schema)
 
 
 def strip_all(df: DataFrame, key: str, column: str = "text") -> DataFrame:

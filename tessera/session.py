@@ -45,6 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores dealt out to all cores, for heavy work a row; anything else as it is.
+
+    A large table has more partitions than cores and is never shuffled for this.
+    """
+    plan = df._jdf.queryExecution().executedPlan()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in plan.toString() or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 _tables: list[tuple[SparkSession, str]] = []
 
 
