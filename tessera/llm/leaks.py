@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .normal import words
 
 SCHEMA = "doc_id long, item_id long, score int, span int, matched int, item_start int, doc_start int"
@@ -191,7 +192,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 30, identity
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull()).dropDuplicates(["item_id"])
     clean = stock_free(items)
     blocks = max(1, -(-items.count() // block))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     out = None
     for b in range(blocks):
         rows = clean.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text into the stretches that byte-pair merges stay within.
 STRETCH = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -135,7 +137,7 @@ def pack(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, most:
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "piece_no", "container_id", "n_tokens", "start", "end"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, PIECE)
 
 
 def capacity_of(size_limits: DataFrame, applies_to: str = "documents") -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .trees import fit_bag, vote
 
 FEATURES = ["n_words", "top_pair", "top_word", "repeated_pairs", "distinct", "function_words", "link_share", "tag_share", "stops", "separators", "line_words", "same_lines", "prose_share", "packed"]
@@ -162,7 +162,8 @@ def find_spam(documents: DataFrame, sample: int = 4000, trees: int = 25, depth:
     if "url" in names:
         host = F.coalesce(host, F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:]+)", 1)))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), "text")
-    feats = cut(page_features(docs))
+    shared = spread(docs)
+    feats = cut(page_features(shared))
     order = F.xxhash64("doc_id")
     rows = []
     for label in (0, 1):
