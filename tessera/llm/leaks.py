@@ -141,12 +141,12 @@ def candidates(code: np.ndarray, doc: np.ndarray, index: Index, seeds: int, widt
     return both[~same][:, :3]
 
 
-def search(index: Index, seeds: int, width: int, least: int, identity: float, pairs: int = 256):
+def search(index: Index, seeds: int, width: int, least: int, identity: float, pairs: int = 256, part_rows: int = 1000):
     """The worker: Arrow batches of (doc_id, text) to Arrow batches of alignments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = index.vocab.get
-        for batch in batches:
+        for batch in (b.slice(k, part_rows) for b in batches for k in range(0, b.num_rows, part_rows)):
             ids = batch.column(0).to_pylist()
             toks = [words(t) for t in batch.column(1).to_pylist()]
             lens = np.array([len(t) for t in toks], np.int64)
