@@ -109,12 +109,13 @@ class OpenContainers:
         return own
 
 
-def pack(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, most: int = 512) -> DataFrame:
+def pack(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, most: int = 512, look_ahead: int = 1000) -> DataFrame:
     """doc_id, piece_no, container_id, n_tokens, start, end (characters) of every document.
 
     No document is divided unless it alone exceeds the capacity; then each of its pieces is as long as fits and the
     pieces are placed like documents. documents: doc_id, text; other columns are ignored. Null and empty texts have no
-    tokens and still get a container, one that is open or a new one. Repeated rows are placed one by one. Container ids
+    tokens and still get a container, one that is open or a new one. Of every `look_ahead` pieces the larger are placed
+    first, which leaves the small ones for the gaps. Repeated rows are placed one by one. Container ids
     name the partition and the container in it, so equal input partitions give equal ids.
     """
     if capacity < 1:
@@ -128,12 +129,16 @@ def pack(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, most:
         part = f"{context.partitionId():06d}" if context else uuid.uuid4().hex[:6]
         bins = OpenContainers(capacity, most)
         for b in batches:
-            rows = []
+            sized = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = text or ""
                 n = count_tokens(enc, text)
                 pieces = [(0, len(text), n)] if n <= capacity else divided(enc, text, capacity)
-                rows.extend((doc, k, f"{part}-{bins.put(size):08d}", size, s, e) for k, (s, e, size) in enumerate(pieces))
+                sized.extend((doc, k, size, s, e) for k, (s, e, size) in enumerate(pieces))
+            rows = []
+            for k in range(0, len(sized), look_ahead):
+                for doc, no, size, s, e in sorted(sized[k : k + look_ahead], key=lambda x: -x[2]):
+                    rows.append((doc, no, f"{part}-{bins.put(size):08d}", size, s, e))
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "piece_no", "container_id", "n_tokens", "start", "end"])
 

@@ -117,7 +117,8 @@ def split_books_and_scenes(books: DataFrame, scenes: DataFrame, size_limits: Dat
     """
     limit = {r.applies_to: (r.max_size, r.overlap) for r in size_limits.select("applies_to", "max_size", "overlap").collect()}
     b = latest(books, "id", "fetched_at", "text").select(F.col("id").alias("record_id"), F.array("text").alias("elements"))
-    narrow = scenes.select("scene_id", "created_at", F.transform("elements", lambda e, i: F.struct(F.coalesce(e["line_number"], F.lit(2**31 - 1)).alias("line"), i.alias("i"), e["content"].alias("content"))).alias("lines"))
+    both = F.arrays_zip(F.col("elements.line_number").alias("line"), F.col("elements.content").alias("content"))  # only these fields are read
+    narrow = scenes.select("scene_id", "created_at", F.transform(both, lambda e, i: F.struct(F.coalesce(e["line"], F.lit(2**31 - 1)).alias("line"), i.alias("i"), e["content"].alias("content"))).alias("lines"))
     s = latest(narrow, "scene_id", "created_at", "lines").select(F.col("scene_id").alias("record_id"), F.transform(F.array_sort("lines"), lambda e: e["content"]).alias("elements"))
     parts = [split_records(df, *limit[name]).select(F.lit(kind).alias("record_kind"), "*") for kind, name, df in (("book", "books", b), ("scene", "scenes", s))]
     return parts[0].unionByName(parts[1])
