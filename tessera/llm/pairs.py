@@ -12,13 +12,13 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .language import language
 from .normal import plain
-from .truncation import find_truncated
+from .truncation import find_truncated, shortened
 
 # Stand-ins for an answer.
 PLACEHOLDERS = frozenset("none null nil nan undefined na n/a tbd todo empty missing void blank noanswer noresponse nooutput".split())
@@ -132,26 +132,6 @@ def rule(question: str | None, answer: str | None, both: bool) -> str | None:
     return None
 
 
-def shortened(rows: DataFrame) -> DataFrame:
-    """id of texts that another text continues inside a word or sentence. rows: id string, text.
-
-    Equal texts are one row first; then the texts are sorted over the cluster, and as all continuations of a text follow
-    it directly, each is held against its next neighbour only. The last text of a partition is held against the first of
-    the next one, of which there are as many as partitions.
-    """
-    distinct = rows.select(F.rtrim("text").alias("text")).filter("length(text) >= 20").distinct()
-    ordered = cut(distinct.repartitionByRange("text").sortWithinPartitions("text").withColumn("part", F.spark_partition_id()))
-    nxt = F.lead("text").over(Window.partitionBy("part").orderBy("text"))
-    firsts = ordered.groupBy("part").agg(F.min("text").alias("first"))
-    following = F.lead("first").over(Window.orderBy("part"))
-    firsts = firsts.select("part", following.alias("first"))
-    pairs = ordered.withColumn("next", nxt).join(F.broadcast(firsts), "part").withColumn("next", F.coalesce("next", "first"))
-    inside = ~F.col("text").rlike("[.!?。！？…][\"”'’)\\]*_`]*$")
-    more = F.substring(F.col("next"), F.length("text") + 1, F.lit(1))
-    found = pairs.filter(inside & F.col("next").startswith(F.col("text")) & (F.col("next") != F.col("text")) & (more != "\n")).select("text")
-    return rows.withColumn("text", F.rtrim("text")).join(found, "text", "left_semi").select("id")
-
-
 def pair_rows(goody: DataFrame, eval_results: DataFrame, processed_rows: DataFrame) -> DataFrame:
     """id, pair_table, pair_id, question, answer, both of the three tables; exact repeats of a row are one."""
     part = lambda df, name, key, q, a: df.select(F.lit(name).alias("pair_table"), F.col(key).cast("long").alias("pair_id"), F.col(q).alias("question"), F.col(a).alias("answer"))

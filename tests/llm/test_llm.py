@@ -142,7 +142,7 @@ def test_shortened_against_brute_force(spark):
     df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, text string")
     inside = lambda t: not re.search(r"[.!?。！？…][\"”'’)\]*_`]*$", t)
     want = {str(k) for k, t in enumerate(texts) if inside(t.rstrip()) and any(u.rstrip() != t.rstrip() and u.startswith(t.rstrip()) for u in texts)}
-    assert {x.id for x in pairs.shortened(df).collect()} == want
+    assert {x.id for x in truncation.shortened(df).collect()} == want
 
 
 def test_language():
