@@ -46,12 +46,11 @@ def nan_mean(c: str) -> Column:
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """bin (1..bins), n over equal widths between the least and the greatest value, the greatest in the last bin; one row of bounds is broadcast."""
+    """bin (1..bins), n over equal widths between the least and the greatest value, the greatest in the last bin; nulls and NaN are left out. The two bounds are read first."""
     own = df.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    bounds = own.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / width) + 1, F.lit(bins))).otherwise(1)
-    return own.crossJoin(F.broadcast(bounds)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    lo, hi = own.agg(F.min("v"), F.max("v")).first()
+    at = F.lit(1) if lo is None or lo == hi else F.least(F.floor((F.col("v") - lo) / ((hi - lo) / bins)) + 1, F.lit(bins))
+    return own.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def criterion_stats(df: DataFrame, group: str, scores: str) -> DataFrame:

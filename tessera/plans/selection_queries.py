@@ -75,9 +75,9 @@ def size_percentiles(spark: SparkSession, folder: str) -> DataFrame:
 )
 def percentile_bands(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").select("n_chars")
-    s = d.agg(F.avg("n_chars").alias("m"), F.stddev_samp("n_chars").alias("d"))
-    band = F.coalesce(S.percentile_label(F.col("n_chars"), F.col("m"), F.col("d")), F.lit("none"))
-    return d.crossJoin(F.broadcast(s)).groupBy(band.alias("band")).agg(F.count("*").alias("n"))
+    mean, deviation = d.agg(F.avg("n_chars"), F.stddev_samp("n_chars")).first()
+    band = F.coalesce(S.percentile_label(F.col("n_chars"), F.lit(mean), F.lit(deviation)), F.lit("none"))
+    return d.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
 
 
 @query(
