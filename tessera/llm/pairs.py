@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .language import language
 from .normal import plain
-from .truncation import find_truncated, shortened
+from .truncation import ENDING, ENDING_NAMES, ending_columns, judged, shortened, word_closings
 
 # Stand-ins for an answer.
 PLACEHOLDERS = frozenset("none null nil nan undefined na n/a tbd todo empty missing void blank noanswer noresponse nooutput".split())
@@ -133,27 +133,30 @@ def rule(question: str | None, answer: str | None, both: bool) -> str | None:
 
 
 def pair_rows(goody: DataFrame, eval_results: DataFrame, processed_rows: DataFrame) -> DataFrame:
-    """id, pair_table, pair_id, question, answer, both of the three tables; exact repeats of a row are one."""
-    part = lambda df, name, key, q, a: df.select(F.lit(name).alias("pair_table"), F.col(key).cast("long").alias("pair_id"), F.col(q).alias("question"), F.col(a).alias("answer"))
+    """id, pair_table, pair_id, question, answer, both of the three tables."""
+    part = lambda df, name, key, q, a: spread(df.select(F.lit(name).alias("pair_table"), F.col(key).cast("long").alias("pair_id"), F.col(q).alias("question"), F.col(a).alias("answer")))
     rows = part(goody, "goody", "row_id", "instruction", "response").unionByName(part(eval_results, "eval_results", "result_id", "prompt", "model_response")).unionByName(part(processed_rows, "processed_rows", "row_id", "prompt", "text"))
-    return rows.dropDuplicates(["pair_table", "pair_id", "question", "answer"]).withColumn("id", F.concat_ws(":", "pair_table", F.col("pair_id").cast("string"))).withColumn("both", F.col("pair_table") == "processed_rows")
+    return rows.withColumn("id", F.concat_ws(":", "pair_table", F.col("pair_id").cast("string"))).withColumn("both", F.col("pair_table") == "processed_rows")
 
 
 def find_defects(rows: DataFrame) -> DataFrame:
     """pair_table, pair_id, defect for every defective pair. rows: as of pair_rows().
 
     One defect a pair, the first of: empty, refusal, copy, language, truncated. A pair whose question is null can only be
-    empty or truncated. Repeated pairs under other ids are each named; an empty table gives no row.
+    empty or truncated. Exact repeats of a row are one case, repeated pairs under other ids are each named; an empty
+    table gives no row. The pairs are read in scans; of the texts only the distinct answers are shuffled, to be sorted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q, a, both = (b.column(k).to_pylist() for k in (3, 4, 5))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array([rule(*x) for x in zip(q, a, both)], pa.string())], names=["id", "pair_table", "pair_id", "defect"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array([rule(*x) for x in zip(q, a, both)], pa.string()), *ending_columns(a)], names=["id", "pair_table", "pair_id", "defect", *ENDING_NAMES])
 
     rows = rows.select("id", "pair_table", "pair_id", "question", "answer", "both")
-    rules = cut(rows.mapInArrow(run, "id string, pair_table string, pair_id long, defect string"))
-    left = rows.select("id", F.col("answer").alias("text")).join(rules.filter("defect is null").select("id"), "id", "left_semi")
-    texts = left.dropDuplicates(["id"])
-    cuts = find_truncated(texts, copies=False).filter("cut").select("id").union(shortened(texts)).distinct().select("id", F.lit("truncated").alias("cut_off"))
-    return rules.join(cuts, "id", "left").withColumn("defect", F.coalesce("defect", "cut_off")).filter("defect is not null").groupBy("pair_table", "pair_id").agg(F.min("defect").alias("defect"))
+    schema = ENDING.replace("id string,", "id string, pair_table string, pair_id long, defect string,")
+    rules = cut(rows.mapInArrow(run, schema).dropDuplicates(["id", "hash", "defect"]))
+    answers = rows.select("id", F.col("answer").alias("text")).filter("text is not null")
+    ends = rules.filter("defect is null and kind <> 'none'").select("id", *ENDING_NAMES)
+    cuts = judged(ends, word_closings(answers)).filter("cut").select("id").union(shortened(answers)).distinct().select("id", F.lit("truncated").alias("cut_off"))
+    named = rules.select("id", "pair_table", "pair_id", "defect").join(cuts, "id", "left").withColumn("defect", F.coalesce("defect", "cut_off"))
+    return named.filter("defect is not null").groupBy("pair_table", "pair_id").agg(F.min("defect").alias("defect"))

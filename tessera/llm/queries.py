@@ -29,7 +29,7 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = truncation.generation_texts(table(spark, folder, "generations"))
-    return truncation.find_truncated(rows).filter("cut").select(F.col("id").cast("long").alias("gen_id"))
+    return truncation.find_truncated(rows).filter("cut").select(F.col("id").cast("long").alias("gen_id")).distinct()
 
 
 def p3_rates(spark: SparkSession, folder: str) -> DataFrame:
