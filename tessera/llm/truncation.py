@@ -1,7 +1,8 @@
 """Texts cut off by a field limit or mid-transfer.
 
 1. Near-copies: min-hash bands over five-word shingles bring copies together, verified pairs are aligned, and the copy
-   whose alignment ends early, inside a sentence, is cut.
+   whose alignment ends early, inside a sentence, is cut. Copies cut however short, but otherwise equal, are found exactly
+   by sorting.
 2. Records without such a copy: structures left open and cut marks are certain; otherwise the closing word is scored by
    how often that word closes a sentence or entry in the whole corpus, beside stock closings and length-limit spikes.
 finish_reason is not used: it is partly wrong, and every case it names correctly is seen from the text.
@@ -316,7 +317,7 @@ def find_truncated(rows: DataFrame, copies: bool = True, stock: float = 0.01) ->
     out = judged(ends, word_closings(rows), stock)
     if not copies:
         return out.select("id", F.col("kind").alias("how"), "cut")
-    shown = near_copies(rows).withColumn("shown", F.lit(True))
+    shown = near_copies(rows).unionByName(shortened(rows)).distinct().withColumn("shown", F.lit(True))
     return out.join(shown, "id", "left").select("id", F.when(F.col("shown"), "copy").otherwise(F.col("kind")).alias("how"), (F.col("cut") | F.coalesce("shown", F.lit(False))).alias("cut"))
 
 

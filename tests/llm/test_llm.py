@@ -98,6 +98,16 @@ def test_near_copy_shows_the_cut(spark):
     assert [r.id for r in truncation.near_copies(df).collect()] == ["cut"]
 
 
+def test_copy_cut_to_a_fraction(spark):
+    entries = lambda seed: "\n".join(f"- {' '.join(random.Random(seed * 100 + k).sample(WORDS, 2))}" for k in range(60))
+    full = entries(1)
+    short = full[: full.index(" ", full.index("\n", int(len(full) * 0.4)) + 4)]
+    df = spark.createDataFrame([("full", full), ("cut", short)] + [(f"o{k}", entries(k)) for k in range(2, 8)], "id string, text string")
+    assert len(short.split("\n")[-1].split()) == 2 and len(short) < 0.45 * len(full)
+    got = {r.id: (r.how, r.cut) for r in truncation.find_truncated(df).collect()}
+    assert got == {"full": ("entry", False), "cut": ("copy", True)} | {f"o{k}": ("entry", False) for k in range(2, 8)}
+
+
 def test_hot_bucket_of_copies(spark):
     full = prose(40, 7)
     rows = [(f"c{k}", full + f" tail{k}.") for k in range(200)] + [("cut", full[: int(len(full) * 0.9)])]
