@@ -224,43 +224,120 @@ def ends_early(short: str, long: str) -> bool:
     return False
 
 
-def near_copies(rows: DataFrame, bands: int = 16, similarity: float = 0.8, most_rounds: int = 64) -> DataFrame:
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+STOPS = frozenset(".!?。！？")
+#: Bits of a filter that is broadcast (16 MB): more keys make it let more through, which the join behind it drops.
+SPOTS = 2**27
+
+
+def closing_windows(text: str) -> tuple[int | None, np.ndarray]:
+    """Key of the five tokens before the last one, None where ends_early can't hold; keys of all windows of five that more of the sentence follows."""
+    t = TOKEN.findall(text.lower())
+    if len(t) < 6:
+        return None, np.zeros(0, np.uint64)
+    known = {x: hash_of(x) for x in set(t)}
+    h = np.fromiter((known[x] for x in t), np.uint64, len(t))
+    w = np.zeros(len(t) - 5, np.uint64)
+    for k in range(5):
+        w += (h[k : k + len(w)] ^ MIX[k]) * MIX[k]
+        w ^= w >> np.uint64(29)
+    goes_on = np.fromiter((x not in STOPS for x in t[5:]), bool, len(w))
+    return int(w[-1]) if goes_on[-1] else None, np.unique(w[goes_on])
+
+
+def joint_keys(windows: np.ndarray, sig: np.ndarray, bands: int) -> np.ndarray:
+    """A key of every window with every band of the signature."""
+    part = sig.astype(np.uint64).reshape(bands, -1)
+    key = np.arange(1, bands + 1, dtype=np.uint64) * MIX[0]
+    for k in range(part.shape[1]):
+        key = (key ^ part[:, k]) * MIX[1 + k % 4]
+        key ^= key >> np.uint64(31)
+    out = (windows[:, None] ^ key[None, :]) * MIX[2]
+    return (out ^ out >> np.uint64(32)).ravel()
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """The bits of all keys (key long), SPOTS of them however many the keys are; built by an aggregation."""
+    spot = F.pmod(F.col("key"), F.lit(SPOTS))
+    bits = np.zeros(SPOTS // 8, np.uint8)
+    for r in keys.groupBy(F.floor(spot / 32768).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.pmod(spot, F.lit(32768))).alias("bits")).toLocalIterator():
+        bits[r.block * 4096 : r.block * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits
+
+
+def passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    spot = keys & np.uint64(SPOTS - 1)
+    return (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def near_copies(rows: DataFrame, bands: int = 16, similarity: float = 0.8) -> DataFrame:
     """id of texts that are a shortened near-copy of another. rows: id string, text.
 
-    Each bucket is led by its longest text, found by an aggregation, so a hot bucket is never one task; members are held
-    against the leader, and those that aren't like it form the bucket's next group with its own leader, round by round
-    until none is left. Equal texts are no pair.
+    Two texts are held against each other where they share a band and the longer one has the closing words of the shorter
+    one with more of the sentence behind them, so every pair of a bucket that ends_early could name is tried, and no
+    other: a hot bucket is parted by the closing words, and nothing of it is left out. Equal texts are no pair.
     """
+    spark = rows.sparkSession
+    rows = rows.select("id", "text")
+    signed = lambda x: np.asarray(x, np.uint64).view(np.int64)
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = {closing_windows((x or "").rstrip())[0] for x in b.column(0).to_pylist()} - {None}
+            yield pa.RecordBatch.from_arrays([pa.array(signed(list(own)), pa.int64())], names=["key"])
+
+    tail_bits = spark.sparkContext.broadcast(key_filter(rows.select("text").mapInArrow(tails, "key long")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [(x or "").rstrip() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hash_of(x) - 2**63 for x in texts], pa.int64()), pa.array(map(signature, texts), pa.list_(pa.int32())), pa.array(map(len, texts), pa.int32())], names=["id", "hash", "sig", "size"])
-
-    sigs = cut(rows.select("id", "text").mapInArrow(sign, "id string, hash long, sig array<int>, size int").filter("sig is not null"))
-    width = 80 // bands
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice(F.col("sig"), b * width + 1, width)))
-    lead = lambda df: df.groupBy("key").agg(F.max(F.struct("size", "hash", "id")).alias("top"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("top.id").alias("leader"), F.col("top.hash").alias("leader_hash"))
-    s = sigs.select("id", "sig")
-    same = F.aggregate(F.zip_with("sig", "leader_sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y) / 80.0
+            ends = [closing_windows(x) for x in texts]
+            hits = [signed(w[passes(w, tail_bits.value)]) for _, w in ends]
+            last = [None if k is None else int(signed([k])[0]) for k, _ in ends]
+            sigs = [signature(x) if k is not None or len(w) else None for x, k, w in zip(texts, last, hits)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([hash_of(x) - 2**63 for x in texts], pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(map(len, texts), pa.int32()), pa.array(last, pa.int64()), pa.array(hits, pa.list_(pa.int64()))],
+                names=["id", "hash", "sig", "size", "tail", "windows"],
+            )
+
+    sigs = cut(rows.mapInArrow(sign, "id string, hash long, sig array<int>, size int, tail long, windows array<long>").filter("sig is not null"))
+
+    def keyed(bits):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    hashes, sizes, keys = [], [], []
+                    for h, n, sig, w in zip(*(b.slice(at, 1000).column(k).to_pylist() for k in range(4))):
+                        k = joint_keys(np.array(w, np.int64).view(np.uint64), np.array(sig, np.int64), bands)
+                        k = k if bits is None else k[passes(k, bits.value)]
+                        hashes.append(np.full(len(k), h, np.int64)), sizes.append(np.full(len(k), n, np.int32)), keys.append(k.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((hashes, pa.int64()), (sizes, pa.int32()), (keys, pa.int64()))], names=["hash", "size", "key"])
+
+        return run
+
+    short = cut_table(sigs.filter("tail is not null").select("hash", "size", "sig", F.array("tail").alias("w")).mapInArrow(keyed(None), "hash long, size int, key long"))
+    joint_bits = spark.sparkContext.broadcast(key_filter(short))
+    long = sigs.filter("size(windows) > 0").select("hash", "size", "sig", "windows").mapInArrow(keyed(joint_bits), "hash long, size int, key long")
+    long = long.select(F.col("hash").alias("leader"), F.col("size").alias("leader_size"), "key").distinct()
+    pairs = cut_table(short.distinct().join(long, "key").filter("hash <> leader and size <= leader_size").select("hash", "leader").distinct())
     # a cut copy is shorter, so its shingles can all lie in the longer text: the estimate may fall a little below the limit
     least = similarity - 0.1
-    todo, found = sigs.select("id", "hash", "size", F.explode(keys).alias("key")), None
-    for _ in range(most_rounds):
-        # written tables: their sizes are known, so the few pairs are sent to the signatures and not the other way round
-        pairs = cut_table(todo.join(cut_table(lead(todo)), "key").filter("hash <> leader_hash").select("id", "hash", "leader", "key", "size"))
-        named = pairs.select("id").union(pairs.select("leader")).distinct()
-        own_sigs = cut_table(s.join(named, "id", "left_semi"))
-        linked = cut_table(pairs.join(own_sigs, "id").join(own_sigs.select(F.col("id").alias("leader"), F.col("sig").alias("leader_sig")), "leader").select("id", "hash", "leader", "key", "size", same.alias("like")))
-        own = linked.filter(F.col("like") >= least).select("id", "leader")
-        found = own if found is None else found.unionByName(own)
-        todo = linked.filter(F.col("like") < least).select("id", "hash", "size", "key")
-        if todo.isEmpty():
-            break
+    same = F.aggregate(F.zip_with("sig", "leader_sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y) / 80.0
+    # written tables: their sizes are known, so the few pairs are sent to the signatures and not the other way round
+    named = pairs.select("hash").union(pairs.select("leader")).distinct()
+    own = cut_table(sigs.select("hash", "sig").join(named, "hash", "left_semi").dropDuplicates(["hash"]))
+    found = cut_table(pairs.join(own, "hash").join(own.select(F.col("hash").alias("leader"), F.col("sig").alias("leader_sig")), "leader").filter(same >= least).select("hash", "leader"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([hash_of((x or "").rstrip()) - 2**63 for x in b.column(1).to_pylist()], pa.int64()), b.column(1)], names=["hash", "text"])
+
     early = F.udf(ends_early, "boolean")
-    found = cut_table(found.distinct())
-    t = cut_table(rows.select("id", "text").join(found.select("id").union(found.select("leader")).distinct(), "id", "left_semi"))
-    return found.join(t, "id").join(t.select(F.col("id").alias("leader"), F.col("text").alias("longer")), "leader").filter(early("text", "longer")).select("id").distinct()
+    named = found.select("hash").union(found.select("leader")).distinct()
+    ids = sigs.select("id", "hash").join(named, "hash", "left_semi").groupBy("hash").agg(F.min("id").alias("id"))
+    t = cut_table(rows.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(hashed, "hash long, text string").dropDuplicates(["hash"]))
+    early_ = found.join(t, "hash").join(t.select(F.col("hash").alias("leader"), F.col("text").alias("longer")), "leader").filter(early("text", "longer")).select("hash").distinct()
+    return sigs.select("id", "hash").join(early_, "hash", "left_semi").select("id").distinct()
 
 
 OPEN_END = re.compile(r"""[.!?。！？…][”"'’)\]*_`]*$""")

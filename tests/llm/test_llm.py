@@ -114,6 +114,20 @@ def test_hot_bucket_of_copies(spark):
     assert [r.id for r in truncation.near_copies(spark.createDataFrame(rows, "id string, text string")).collect()] == ["cut"]
 
 
+def test_bucket_of_many_unlike_texts(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    template = [word() for _ in range(60)]
+    texts = [" ".join(template + [word() for _ in range(60)]) for _ in range(400)]
+    variant = texts[7].split()
+    rows = [(f"t{k}", t + ".") for k, t in enumerate(texts)] + [("cut", " ".join(variant[:3] + ["other"] + variant[4:110]))]
+    # a longer text that is like the next ones but differs where they were cut
+    base = [word() for _ in range(200)]
+    changed = base[:180] + [word() for _ in range(30)]
+    rows += [("leader", " ".join(changed) + "."), ("variant", " ".join(base) + "."), ("cut2", " ".join(base[:5] + ["other"] + base[6:190]))]
+    assert {x.id for x in truncation.near_copies(spark.createDataFrame(rows, "id string, text string")).collect()} == {"cut", "cut2"}
+
+
 def test_rates(spark):
     schema = "gen_id long, source string, content string"
     df = spark.createDataFrame([(1, "a", prose(5, 1)), (1, "a", prose(5, 1)), (2, "a", prose(5, 2) + " The old"), (3, None, prose(5, 3)), (4, "b", None)], schema)
