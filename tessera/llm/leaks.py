@@ -106,6 +106,57 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return best
 
 
+def steps(a: list[int], b: list[int]) -> list[tuple[int, int, bool]]:
+    """The best local alignment of two texts, as of align(), step by step: word of a, word of b, whether they are equal; in a gap the side that stands still repeats its word."""
+    above, ways, best, end = [0] * (len(b) + 1), [], 0, (0, 0)
+    for i, x in enumerate(a):
+        row, way = [0] * (len(b) + 1), bytearray(len(b) + 1)
+        for j, y in enumerate(b):
+            v, w = above[j] + (1 if x == y else -1), 1
+            if above[j + 1] - 1 > v:
+                v, w = above[j + 1] - 1, 2
+            if row[j] - 1 > v:
+                v, w = row[j] - 1, 3
+            if v > 0:
+                row[j + 1], way[j + 1] = v, w
+                if v > best:
+                    best, end = v, (i, j + 1)
+        above = row
+        ways.append(way)
+    i, j = end
+    out = []
+    while i >= 0 and j > 0 and (w := ways[i][j]):
+        out.append((i, j - 1, w == 1 and a[i] == b[j - 1]))
+        i, j = i - (w != 3), j - (w != 2)
+    return out[::-1]
+
+
+def stretch(a: np.ndarray, b: np.ndarray, least: int, identity: float) -> tuple[int, int, int, int, int] | None:
+    """The best stretch of at least `least` words of a that b holds with `identity` of them equal and only single words changed: score, span, matches, first word of a and of b.
+
+    For pairs whose alignment as a whole has too many changes: a changed block parts it, and what lies beside it is looked at in turn.
+    """
+    x, y = a.tolist(), b.tolist()
+    while len(path := steps(x, y)) >= least and sum(e for *_, e in path) >= identity * least:
+        found = None
+        same = [k for k, (*_, e) in enumerate(path) if e]
+        runs = np.split(same, np.flatnonzero(np.diff(same) > 2) + 1)
+        for run in (r.tolist() for r in runs if len(r) >= identity * least):
+            for n, k in enumerate(run):
+                for m in range(len(run) - 1, n, -1):
+                    span, matched = path[run[m]][0] - path[k][0] + 1, m - n + 1
+                    if span < least or found and matched <= found[2]:
+                        break
+                    if matched >= identity * span:
+                        found = (2 * matched - (run[m] - k + 1), span, matched, path[k][0], path[k][1])
+                        break
+        if found:
+            return found
+        for i, *_ in path:
+            x[i] = -2
+    return None
+
+
 def candidates(code: np.ndarray, doc: np.ndarray, index: Index, seeds: int, width: int) -> np.ndarray:
     """Rows (doc, item, diagonal) where at least `seeds` seeds of an item lie near one diagonal. code: all words of a batch, doc: their documents."""
     key = grams(code, index.n)
@@ -159,8 +210,10 @@ def search(index: Index, seeds: int, width: int, least: int, identity: float, pa
                 a = [index.codes[i] for _, i, _ in part]
                 lo = [max(start[d], g - width) for d, _, g in part]
                 b = [code[s : max(s, min(start[d + 1], g + len(x) + width))] for (d, _, g), s, x in zip(part, lo, a)]
-                for (d, i, _), s, (score, i0, i1, j0, m) in zip(part, lo, align(a, b).tolist()):
+                for (d, i, _), s, x, y, (score, i0, i1, j0, m) in zip(part, lo, a, b, align(a, b).tolist()):
                     span = i1 - i0 + 1
+                    if span >= least and m < identity * span and score >= (2 * identity - 1) * least and (d, i) not in rows:
+                        score, span, m, i0, j0 = stretch(x, y, least, identity) or (0, 0, 0, 0, 0)
                     if span >= least and m >= identity * span and score > rows.get((d, i), (0,))[0]:
                         rows[d, i] = (score, span, m, i0, int(s - start[d] + j0))
             keys = list(rows)
@@ -184,7 +237,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, least: int = 30, identity
     """Documents that hold at least `least` successive words of a test item, one row per document and item.
 
     Words are compared as read, not as typed (case, accents, lookalike letters, markup, line-end hyphens, unseen
-    characters); scattered changes of single words are passed over as long as `identity` of the aligned words agree.
+    characters); scattered changes of single words are passed over as long as `identity` of the aligned words agree, in the
+    alignment as a whole or in a stretch of it that no changed block parts.
     documents: doc_id, text; items: item_id, text; further columns are ignored. Null or empty texts give no row; items
     of fewer than `least` words can't leak; repeated rows of a document give one row each.
     Output: doc_id, item_id, score, span (item words covered), matched, item_start, doc_start (word positions).

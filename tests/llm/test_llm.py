@@ -8,6 +8,7 @@ from collections import defaultdict
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -317,6 +318,19 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
+def test_verbatim_runs_beside_changed_blocks():
+    passage, other = varied(100, 11), [f"x{w}" for w in varied(100, 12)]
+    docs = [
+        passage[:40] + other[40:60] + passage[60:], passage[:35] + [w for k in range(35, 100, 3) for w in (passage[k], passage[k + 1 if k < 99 else k], other[k])],
+        [other[k] if k % 5 == 4 else w for k, w in enumerate(passage)], passage[:20] + other[20:30] + passage[30:50] + other[50:], passage[:25] + other[25:30] + passage[30:55] + other[55:], [other[k] if k % 3 == 2 else w for k, w in enumerate(passage)],
+    ]
+    index = leaks.build_index([(1, " ".join(passage))])
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(docs))), "text": [" ".join(d) for d in docs]})
+    got = {r["doc_id"]: r for b in leaks.search(index, 6, 24, 30, 0.82)([batch]) for r in b.to_pylist()}
+    assert {0, 1, 2} <= set(got) and not {3, 5} & set(got)
+    assert got[0]["span"] == 40 and got[0]["matched"] == 40
+
+
 def test_words_as_read():
     assert words("Ca​fé  mis-\ntook &amp; <i>Тhе</i> “End”") == ["cafe", "mistook", "the", "end"]
     assert words(None) == [] and words("") == []
