@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -223,6 +223,12 @@ def strip_all(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     return per_row(df, key, column, lambda t: None if t is None else strip_headers(t), "text", "string")
 
 
+def latest_books(books: DataFrame) -> DataFrame:
+    """The most recently fetched row with a text of each book; among equally late ones the choice is fixed by their content. Spark keeps one row a key and task before the shuffle."""
+    order = Window.partitionBy("id").orderBy(F.col("fetched_at").desc_nulls_last(), F.xxhash64("text", "title", "author"))
+    return books.filter("text is not null").select("id", "text", "title", "author", "fetched_at").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "fetched_at")
+
+
 def book_chunks(df: DataFrame, key: str, least: int = 1500, most: int = 10_000, separator: str = "\n\n", count: Counter = rough_count) -> DataFrame:
     """key, chunk_no, text, tokens of the chunks of cleaned paragraphs, those of `most` tokens and more left out."""
     cleaned = strip_all(df, key).select(key, clean_paragraphs(F.col("text"), separator).alias("p"))

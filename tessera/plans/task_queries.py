@@ -37,13 +37,13 @@ def replayed_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def summarized_continuations(spark: SparkSession, folder: str) -> DataFrame:
-    b = table(spark, folder, "books").filter("text is not null").select("id", "text").dropDuplicates(["id"])
+    b = D.latest_books(table(spark, folder, "books"))
     return tasks.summarized_continuations(b, "id")
 
 
 @query()
 def backtranslated_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    b = table(spark, folder, "books").filter("text is not null").select("id", "text").dropDuplicates(["id"])
+    b = D.latest_books(table(spark, folder, "books"))
     chunks = D.book_chunks(b, "id", least=300).withColumn("chunk", F.concat_ws(":", F.col("id").cast("string"), F.col("chunk_no").cast("string")))
     return tasks.backtranslate(chunks.select("chunk", "text"), "chunk", keep_all=True)
 

@@ -212,13 +212,13 @@ def comma_groups(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def book_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of at least 300 tokens of cleaned paragraphs."""
-    b = table(spark, folder, "books").filter("text is not null").select("id", "text", "title", "author").dropDuplicates(["id"])
+    b = D.latest_books(table(spark, folder, "books"))
     return D.book_chunks(b, "id", least=300).join(b.select("id", "title", "author"), "id")
 
 
 @query()
 def continuations(spark: SparkSession, folder: str) -> DataFrame:
-    b = table(spark, folder, "books").filter("text is not null").dropDuplicates(["id"])
+    b = D.latest_books(table(spark, folder, "books"))
     return D.continuation_rows(b, "id", D.ContinuationSizes(summary_tokens=300, prefix_tokens=120))
 
 

@@ -167,3 +167,11 @@ def test_screenplay():
     assert a[0]["content"] == "Rain falls. It stops."
     assert (a[1]["character"], a[1]["parenthetical"], a[1]["content"]) == ("ANNA", "(softly)", "Hello there. Again.")
     assert D.parse_screenplay(None) == []
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_latest_books(spark, turned):
+    rows = [(1, "old", "2024-01-01"), (1, "new", "2024-03-01"), (1, None, "2024-04-01"), (1, "undated", None), (2, "a", "2024-01-01"), (2, "b", "2024-01-01"), (3, None, "2024-01-01")]
+    df = spark.createDataFrame([(i, x, "t", "a", at) for i, x, at in rows[:: -1 if turned else 1]], "id long, text string, title string, author string, fetched_at string").coalesce(1)
+    by_hash = spark.createDataFrame([("a",), ("b",)], "text string").orderBy(F.xxhash64("text", F.lit("t"), F.lit("a"))).first().text
+    assert {(r.id, r.text) for r in D.latest_books(df).collect()} == {(1, "new"), (2, by_hash)}
