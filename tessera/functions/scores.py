@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
 from .extract import groups, hash_answer, xml_answer
 from .text import ngrams, words
 
@@ -19,7 +18,7 @@ def slop_index(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: s
     phrases: n (1, 2 or 3), phrase (lower case, words joined by spaces); repeats count once. Spark broadcasts the list as
     long as its size allows and joins by shuffle beyond that. Rows of a key are added up before the shuffle.
     """
-    toks = spread(docs.select(key, text)).select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    toks = docs.select(key, text).select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     counted = lambda n: F.transform(ngrams(F.col("t"), n) if n > 1 else F.col("t"), lambda g: F.struct(F.lit(n).alias("n"), g.alias("phrase")))
     grams = F.concat(*map(counted, (1, 2, 3)))
     flat = toks.select(key, F.size("t").alias("n_tokens"), F.explode_outer(grams).alias("g")).select(key, "n_tokens", "g.n", "g.phrase")

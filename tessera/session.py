@@ -28,13 +28,16 @@ def build(master: str = "local[*]", app: str = "tessera", **conf: str) -> SparkS
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the one the session names in spark.checkpoint.dir.
 
-    Only where neither the context nor the setting has one (tests, a single machine) a temporary folder is set.
+    Only on a local master, where neither the context nor the setting has one (tests), a temporary folder is set; on a
+    cluster a machine's own folder would not outlive an executor, so that is an error.
     """
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -45,39 +48,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer partitions than there are cores dealt out to all cores, for heavy work a row; anything else as it is.
-
-    A large table has more partitions than cores and is never shuffled for this.
-    """
-    plan = df._jdf.queryExecution().executedPlan()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if "Exchange" in plan.toString() or plan.execute().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 _tables: list[tuple[SparkSession, str]] = []
 
 
 def cut_table(df: DataFrame) -> DataFrame:
     """df as a table written to the shared checkpoint folder, for loops: unlike a checkpoint, which carries the size
-    estimates of its plan on, the next round starts from the size on disk. The tables are deleted when the driver ends."""
+    estimates of its plan on, the next round starts from the size on disk. A table that is done with goes by
+    drop_table(); the others are deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _tables:
         atexit.register(drop_tables)
     _tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables of cut_table() that nothing reads any more."""
+    gone = {t._written for t in tables}
+    for at in [x for x in _tables if x[1] in gone]:
+        _tables.remove(at)
+        _delete(*at)
 
 
 def drop_tables() -> None:
     """Delete the written tables of this driver; a session that has stopped already leaves them to the folder's owner."""
     while _tables:
-        spark, path = _tables.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_tables.pop())
         except Exception:  # noqa: BLE001  the JVM may be gone
             return
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

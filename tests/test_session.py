@@ -1,7 +1,9 @@
-"""Lineage cutting and spreading."""
+"""Lineage cutting."""
 
 from __future__ import annotations
 
+import pytest
+
 from tessera import session
 
 
@@ -24,11 +26,20 @@ def test_written_tables_are_dropped(spark):
     assert not fs.exists(fs_path) and not session._tables
 
 
-def test_small_scans_are_spread(spark, tmp_path):
-    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t"))
-    d = spark.read.parquet(str(tmp_path / "t"))
-    assert session.spread(d).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 10, 1, 64)
-    assert session.spread(wide) is wide
-    grouped = d.groupBy("id").count()
-    assert session.spread(grouped) is grouped
+def test_tables_that_are_done_with_go(spark):
+    one, two = session.cut_table(spark.range(3)), session.cut_table(spark.range(4))
+    session.drop_table(one)
+    assert [at for _, at in session._tables] == [two._written] and two.count() == 4
+    session.drop_tables()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    session_ = type("Session", (), {"sparkContext": Context, "conf": type("C", (), {"get": staticmethod(lambda k, d: d)})})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(session_)
