@@ -8,9 +8,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lookup import lookup
 from ..session import cut
 from .components import components
 
@@ -103,12 +104,10 @@ def keys_of(values: DataFrame) -> DataFrame:
     return values.select("kind", "value").filter("value is not null").distinct().mapInArrow(run, KEYED)
 
 
-def one_edit(a: str, b: str) -> bool:
-    """One letter put in, left out, changed, or two neighbours exchanged."""
-    if abs(len(a) - len(b)) > 1 or a == b:
-        return a == b
-    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
+def one_edit(a: Column, b: Column) -> Column:
+    """Equal, or one letter put in, left out, changed, or two neighbours exchanged."""
+    swapped = F.exists(F.sequence(F.lit(1), F.length(a) - 1), lambda k: F.concat(F.substring(a, F.lit(1), k - 1), F.substring(a, k + 1, F.lit(1)), F.substring(a, k, F.lit(1)), F.substring(a, k + 2, F.length(a))) == b)
+    return (F.levenshtein(a, b, 1) >= 0) | ((F.length(a) > 1) & (F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2) & swapped)
 
 
 def misspellings(names: DataFrame, least: int = 8) -> DataFrame:
@@ -118,44 +117,43 @@ def misspellings(names: DataFrame, least: int = 8) -> DataFrame:
     from one string, so it is bounded by the alphabet. Two different first names (or families) that both occur with
     several families (first names) are different persons, however alike.
     """
-    full = names.filter("length(first) > 1 and length(key) >= " + str(least + 7))
-    known_first = full.groupBy("first").agg((F.countDistinct("family") >= 3).alias("first_known"))
-    known_family = full.groupBy("family").agg((F.countDistinct("first") >= 2).alias("family_known"))
+    before = len("author:")
+    full = names.filter(F.length("first") > 1).filter(F.length("key") >= least + before)
+    known_first = full.groupBy("first").agg((F.count_distinct("family") >= 3).alias("first_known"))
+    known_family = full.groupBy("family").agg((F.count_distinct("first") >= 2).alias("family_known"))
     full = full.join(known_first, "first").join(known_family, "family")
-
-    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            forms, at = [], []
-            for i, k in enumerate(b.column(0).to_pylist()):
-                for f in {k, *(k[:j] + k[j + 1 :] for j in range(7, len(k)))}:
-                    forms.append(f), at.append(i)
-            take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), *(b.column(c).take(take) for c in range(5))], names=["form", "key", "first", "family", "first_known", "family_known"])
-
-    forms = full.select("key", "first", "family", "first_known", "family_known").mapInArrow(left_out, "form string, key string, first string, family string, first_known boolean, family_known boolean")
+    left_out = F.transform(F.sequence(F.lit(before + 1), F.length("key")), lambda k: F.concat(F.substring("key", F.lit(1), k - 1), F.substring("key", k + 1, F.length("key"))))
+    forms = full.select("*", F.explode(F.array_distinct(F.concat(F.array("key"), left_out))).alias("form"))
     other = forms.select("form", *(F.col(c).alias(c + "2") for c in ("key", "first", "family", "first_known", "family_known")))
-    near = F.udf(one_edit, "boolean")
     pairs = forms.join(other, "form").filter("key < key2").filter("first = first2 or not (first_known and first_known2)").filter("family = family2 or not (family_known and family_known2)").filter("first = first2 or family = family2")
-    return pairs.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().filter(near("a", "b"))
+    return pairs.select(F.col("key").alias("a"), F.col("key2").alias("b")).distinct().filter(one_edit(F.col("a"), F.col("b")))
 
 
 def initials(names: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges a, b from a key with an initial to the only person of that family whose first name starts so."""
-    short = names.filter("length(first) = 1").select(F.col("key").alias("a"), "first", "family")
-    full = names.filter("length(first) > 1").join(labels.select(F.col("v").alias("key"), "label"), "key", "left").select(F.substring("first", 1, 1).alias("first"), "family", F.coalesce("label", "key").alias("label"))
-    only = full.groupBy("first", "family").agg(F.min("label").alias("b"), F.max("label").alias("most")).filter("b = most")
-    return short.join(only, ["first", "family"]).select("a", "b")
+    """key, person of every key with an initial: the only person of that family whose first name starts so. labels: key, label."""
+    short = names.filter("length(first) = 1").select("key", "first", "family")
+    full = names.filter("length(first) > 1").join(labels, "key", "left").select(F.substring("first", 1, 1).alias("first"), "family", F.coalesce("label", "key").alias("label"))
+    only = full.groupBy("first", "family").agg(F.min("label").alias("person"), F.max("label").alias("most")).filter("person = most")
+    return short.join(only, ["first", "family"]).select("key", "person")
 
 
 def entities(values: DataFrame) -> DataFrame:
-    """kind, value, entity of every value that names something. values: kind, value (repeats and nulls allowed)."""
+    """kind, value, entity of every value that names something. values: kind, value (repeats and nulls allowed).
+
+    Misspellings are contracted once; a name with an initial has no edge but the one to its person, so it takes that
+    person's label and needs no contraction of its own.
+    """
     keyed = cut(keys_of(values))
     names = keyed.filter("kind = 'author'").select("key", "first", "family").distinct()
-    spelt = cut(misspellings(names))
-    first = components(spelt)
-    edges = spelt.unionByName(initials(names, first))
-    labels = components(edges)
-    return keyed.join(labels.select(F.col("v").alias("key"), "label"), "key", "left").select("kind", "value", F.coalesce("label", "key").alias("entity"))
+    labels = cut(components(misspellings(names)).withColumnRenamed("v", "key"))
+    label = names.select("key").join(labels, "key", "left").join(initials(names, labels), "key", "left").select("key", F.coalesce("label", "person").alias("label"))
+    return keyed.join(label, "key", "left").select("kind", "value", F.coalesce("label", "key").alias("entity"))
+
+
+def entity_classes(values: DataFrame) -> DataFrame:
+    """kind, value, entity, n_values: each value with its class and the number of different values in it; one row a value."""
+    e = cut(entities(values))
+    return e.join(e.groupBy("entity").agg(F.count("*").alias("n_values")), "entity").select("kind", "value", "entity", "n_values")
 
 
 def entity_values(processed_rows: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -163,14 +161,17 @@ def entity_values(processed_rows: DataFrame, scenes: DataFrame) -> DataFrame:
     return part(processed_rows, "author", "author").unionByName(part(processed_rows, "work", "title")).unionByName(part(scenes, "work", "name"))
 
 
-def same_entity_pairs(processed_rows: DataFrame, scenes: DataFrame) -> DataFrame:
+def same_entity_pairs(processed_rows: DataFrame, scenes: DataFrame, part: int = 256) -> DataFrame:
     """entity_kind, value_a, value_b: all pairs of different spellings of one entity, value_a first by code points.
 
-    Null and placeholder values name nothing; spellings of several works by one author stay apart. Empty tables give none.
+    Null and placeholder values name nothing; spellings of several works by one author stay apart. Empty tables give
+    none. The pairs are the stated result; entity_classes() gives the same as one row a value. An entity of more than
+    `part` values is dealt to several tasks.
     """
-    e = cut(entities(entity_values(processed_rows, scenes)))
-    a, b = e.select("entity", F.col("kind").alias("entity_kind"), F.col("value").alias("value_a")), e.select("entity", F.col("value").alias("value_b"))
-    return a.join(b, "entity").filter("value_a < value_b").select("entity_kind", "value_a", "value_b")
+    e = entity_classes(entity_values(processed_rows, scenes)).withColumn("parts", F.ceil(F.col("n_values") / part).cast("long"))
+    a = e.select("entity", F.col("kind").alias("entity_kind"), F.col("value").alias("value_a"), F.pmod(F.xxhash64("value"), "parts").alias("part"))
+    b = e.select("entity", F.col("value").alias("value_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["entity", "part"]).filter("value_a < value_b").select("entity_kind", "value_a", "value_b")
 
 
 def assign_splits(processed_rows: DataFrame, scenes: DataFrame, shares: DataFrame, heavy: float = 0.01, buckets: int = 1024) -> DataFrame:
@@ -179,26 +180,23 @@ def assign_splits(processed_rows: DataFrame, scenes: DataFrame, shares: DataFram
     processed_rows: row_id, author, title; scenes: scene_id, name; shares: split_name, share (normalised to 1). Rows that
     name nobody and nothing are components of their own, one for each id. Components of more than `heavy` of all rows, at
     most 1 / heavy of them, are dealt one by one to the split that lacks most; the others by cumulative weight in the order
-    of a hash. Repeated rows share their id's split; null ids count as one id.
+    of a hash. Repeated rows share their id's split; null ids count as one id. Rows without a name and rows of frequent
+    names are joined without a shuffle (lookup).
     """
     e = cut(entities(entity_values(processed_rows, scenes)))
     author = e.filter("kind = 'author'").select(F.col("value").alias("author"), F.col("entity").alias("who"))
     title = e.filter("kind = 'work'").select(F.col("value").alias("title"), F.col("entity").alias("what"))
-    named = processed_rows.select(F.lit("processed_rows").alias("row_table"), F.col("row_id").cast("long").alias("row_id"), "author", "title").unionByName(
-        scenes.select(F.lit("scenes").alias("row_table"), F.col("scene_id").cast("long").alias("row_id"), F.lit(None).cast("string").alias("author"), F.col("name").alias("title"))
-    )
-    rows = named.join(author, "author", "left").join(title, "title", "left").withColumn("own", F.concat_ws(":", F.lit("row"), "row_table", F.col("row_id").cast("string")))
-    rows = cut(rows.select("row_table", "row_id", "own", "who", "what"))
-    # a row_id that recurs with other names ties them together through its own vertex
-    ties = rows.select(F.coalesce("who", "what").alias("a"), F.coalesce("what", "who").alias("b"), "own", "row_table", "row_id").filter("a is not null")
-    again = ties.groupBy("own").agg(F.count_distinct("a", "b").alias("n")).filter("n > 1").select("own")
-    edges = ties.select("a", "b").unionByName(ties.join(again, "own", "left_semi").select("a", F.col("own").alias("b"))).distinct()
+    row = lambda name, key, c: [F.lit(name).alias("row_table"), F.col(key).cast("long").alias("row_id"), F.col(c).alias("title")]
+    written = lookup(processed_rows.select(*row("processed_rows", "row_id", "title"), "author"), author, "author").drop("author")
+    named = written.unionByName(scenes.select(*row("scenes", "scene_id", "name"), F.lit(None).cast("string").alias("who")))
+    own = F.concat_ws(":", F.lit("row"), "row_table", F.coalesce(F.col("row_id").cast("string"), F.lit("")))
+    rows = cut(lookup(named, title, "title").select("row_table", "row_id", own.alias("own"), "who", "what"))
+    # an id that recurs with other names, or with none, ties them together through its own vertex
+    again = rows.groupBy("own").agg(F.min(F.struct("who", "what")).alias("lo"), F.max(F.struct("who", "what")).alias("hi")).filter("lo <> hi").select("own")
+    ties = rows.join(again, "own", "left_semi").select(F.coalesce("who", "what").alias("a"), F.col("own").alias("b")).filter("a is not null")
+    edges = rows.select(F.coalesce("who", "what").alias("a"), F.coalesce("what", "who").alias("b")).filter("a is not null").unionByName(ties).distinct()
     labels = cut(components(edges))
-    of = rows.withColumn("v", F.coalesce("who", "what", "own")).join(labels, "v", "left").select("row_table", "row_id", "own", F.coalesce("label", "v").alias("component"))
-    unnamed = of.filter(F.col("component").startswith("row:")).select("own", "component").distinct()
-    tied = labels.filter("v like 'row:%'").select(F.col("v").alias("own"), F.col("label").alias("component"))
-    both = unnamed.join(tied.withColumnRenamed("component", "tied"), "own", "left").select("own", F.coalesce("tied", "component").alias("c2"))
-    of = cut(of.join(both, "own", "left").select("row_table", "row_id", F.when(F.col("component").startswith("row:"), F.coalesce("c2", "component")).otherwise(F.col("component")).alias("component")))
+    of = cut(lookup(rows.select("row_table", "row_id", F.coalesce("who", "what", "own").alias("v")), labels, "v").select("row_table", "row_id", F.coalesce("label", "v").alias("component")))
     weights = cut(of.groupBy("component").agg(F.count("*").alias("weight")))
     total = weights.agg(F.sum("weight")).first()[0] or 0
     wanted = {r.split_name: r.share for r in shares.collect()}
@@ -228,4 +226,4 @@ def assign_splits(processed_rows: DataFrame, scenes: DataFrame, shares: DataFram
     chosen = middle.select("component", pick.alias("split_name"))
     if dealt:
         chosen = chosen.unionByName(fixed.select("component", F.col("fixed").alias("split_name")))
-    return of.join(chosen, "component").select("row_table", "row_id", "component", "split_name")
+    return lookup(of, chosen, "component").select("row_table", "row_id", "component", "split_name")

@@ -207,7 +207,13 @@ def test_names():
         assert splits.work(v) == "old mill"
     assert splits.work("The Old Mill, Book II") == splits.work("The Old Mill, Vol. 2") == "old mill #2" != splits.work("The Old Mill, Book III")
     assert splits.work("Salt & Wind") == splits.work("Salt and Wind") and splits.work("Untitled") is None
-    assert splits.one_edit("marlow", "marrlow") and splits.one_edit("marlow", "malrow") and splits.one_edit("marlow", "marlo") and not splits.one_edit("marlow", "morlew")
+
+
+def test_one_edit(spark):
+    near = [("marlow", "marrlow"), ("marlow", "malrow"), ("marlow", "marlo"), ("marlow", "marlow"), ("ab", "ba"), ("marlow", "arlow")]
+    far = [("marlow", "morlew"), ("marlow", "mawlor"), ("abcd", "badc"), ("marlow", "mar"), ("a", "bc")]
+    df = spark.createDataFrame([(*p, True) for p in near] + [(*p, False) for p in far], "a string, b string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", splits.one_edit(F.col("a"), F.col("b")).alias("got")).collect())
 
 
 def tables(spark):
@@ -241,6 +247,34 @@ def test_splits_keep_entities_together(spark):
     assert splits.assign_splits(pr.limit(0), sc.limit(0), shares).count() == 0
 
 
+def test_hub_and_rows_without_names(spark):
+    hub = [(k, "Ada Marlowe", f"Work {chr(97 + k % 26)}{chr(97 + k // 26)} of many") for k in range(600)]
+    none = [(1000 + k, None, None) for k in range(300)] + [(2000, None, None), (2000, "Ada Marlowe", None)]
+    pr = spark.createDataFrame(hub + none, "row_id long, author string, title string")
+    sc = spark.createDataFrame([(k, None) for k in range(200)] + [(900, "Work aa of many (draft 1)")], "scene_id long, name string")
+    shares = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split_name string, share double")
+    got = splits.assign_splits(pr, sc, shares).collect()
+    assert len(got) == 600 + 302 + 201
+    by = defaultdict(set)
+    for r in got:
+        by[r.row_table, r.row_id].add((r.component, r.split_name))
+    one = by["processed_rows", 0]
+    assert all(by["processed_rows", k] == one for k in range(600)) and by["scenes", 900] == by["processed_rows", 2000] == one
+    assert len({next(iter(v))[0] for v in by.values()}) == 1 + 300 + 200
+    edges = spark.createDataFrame([("hub", f"leaf{k}") for k in range(3000)], "a string, b string")
+    assert components(edges).agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).first() == (3001, 1)
+
+
+def test_classes_and_pairs_agree(spark):
+    pr = spark.createDataFrame([(k, None, "The Old Mill" + " " * k) for k in range(40)] + [(99, None, "Salt")], "row_id long, author string, title string")
+    sc = spark.createDataFrame([], "scene_id long, name string")
+    classes = {r.value: (r.entity, r.n_values) for r in splits.entity_classes(splits.entity_values(pr, sc)).collect()}
+    assert len(classes) == 41 and len({v for v in classes.values()}) == 2 and classes["Salt"][1] == 1
+    pairs_ = {(r.value_a, r.value_b) for r in splits.same_entity_pairs(pr, sc, part=4).collect()}
+    mills = sorted(v for v in classes if v != "Salt")
+    assert pairs_ == {(a, b) for a in mills for b in mills if a < b}
+
+
 # --- packing -------------------------------------------------------------------------------------------------------
 
 
