@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import cut
 from .trees import fit_bag, vote
 
 FEATURES = ["n_words", "top_pair", "top_word", "repeated_pairs", "distinct", "function_words", "link_share", "tag_share", "stops", "separators", "line_words", "same_lines", "prose_share", "packed"]
@@ -151,8 +151,9 @@ def page_features(documents: DataFrame) -> DataFrame:
 def find_spam(documents: DataFrame, sample: int = 4000, trees: int = 25, depth: int = 6, prior: float = 20.0, pull: float = 0.15, threshold: float = 0.5) -> DataFrame:
     """Spam score of every document: doc_id, host, page_score, host_rate, score, is_spam.
 
-    documents: doc_id, text and, where there, source or url (the host); other columns are ignored. The trees see at most
-    `sample` weakly labelled pages of each label, the first by a hash of the id; everything else covers all pages.
+    documents: doc_id, text and, where there, source or url (the host); other columns are ignored. The trees see about
+    `sample` weakly labelled pages of each label: those whose id's hash lies in the first `sample` / n of its range, n
+    being the label's pages, so that only these rows ever reach the driver; everything else covers all pages.
     The host's rate is the mean page score with `prior` pages at the overall mean added; score = (1 - pull) page + pull
     host. Null, empty and blank texts score 0; if a label has no page, the weak rule stands in for the trees; a null
     host forms no group and keeps the overall mean. Repeated rows give one row each.
@@ -162,12 +163,12 @@ def find_spam(documents: DataFrame, sample: int = 4000, trees: int = 25, depth:
     if "url" in names:
         host = F.coalesce(host, F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:]+)", 1)))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), "text")
-    shared = spread(docs)
-    feats = cut(page_features(shared))
-    order = F.xxhash64("doc_id")
+    feats = cut(page_features(docs))
     rows = []
-    for label in (0, 1):
-        rows += feats.filter(F.col("label") == label).orderBy(order, "doc_id").limit(sample).select("x", "label").collect()
+    for r in feats.filter("label >= 0").groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect():
+        spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+        taken = feats.filter((F.col("label") == r.label) & (spot < F.lit(int(min(1.0, sample / r.n) * (1 << 40)))))
+        rows += sorted(taken.dropDuplicates(["doc_id"]).select("doc_id", "x", "label").collect())
     x, y = np.array([r.x for r in rows], np.float64).reshape(len(rows), len(FEATURES)), np.array([r.label for r in rows], float)
     bag = fit_bag(x, y, trees, depth) if 0 < y.sum() < len(y) else None
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, cut_table, spread
+from ..session import cut, cut_table
 
 ENDING = "id string, hash long, length int, kind string, cut boolean, word string, tail string"
 ENDING_NAMES = ["hash", "length", "kind", "cut", "word", "tail"]
@@ -400,7 +400,7 @@ def find_truncated(rows: DataFrame, copies: bool = True, stock: float = 0.01) ->
 
 def generation_texts(generations: DataFrame) -> DataFrame:
     """id, source, text of the rows; gen_id repeats in exact repeats of a row only, which the verdicts drop."""
-    return spread(generations.select(F.col("gen_id").cast("string").alias("id"), "source", F.col("content").alias("text")))
+    return generations.select(F.col("gen_id").cast("string").alias("id"), "source", F.col("content").alias("text"))
 
 
 def truncation_rates(generations: DataFrame) -> DataFrame:
