@@ -17,69 +17,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_table
+
 NODE = "episode_id long, level string, path string, parent string, position int, variant string, shape string, fields map<string,string>"
 MISSING = object()
 
 
+def members(state: str) -> list[str]:
+    """The states of an array's entries; a state that is no array's stands for itself."""
+    return [m for m in state[1:-1].split("|") if m] if state.startswith("[") else [state]
+
+
 @dataclass(frozen=True)
 class Rule:
     """A transition of the automaton: objects whose fields reach these states get this state.
 
-    needs: field -> allowed child states ('*' any); tag: the value that the field 'type' must have.
+    needs: field -> states allowed for it or, where it is an array, for each of its entries (empty: any); may: the same for
+    fields that can be missing; tag: the value that the field 'type' must have.
     """
 
     state: str
     needs: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    may: dict[str, tuple[str, ...]] = field(default_factory=dict)
     tag: str | None = None
 
     def takes(self, value: dict, states: dict[str, str]) -> bool:
         if self.tag is not None and value.get("type") != self.tag:
             return False
-        return all(f in states and (a == ("*",) or states[f] in a) for f, a in self.needs.items())
+        good = lambda f, a: not a or all(m in a or m.partition(":")[0] + ":" in a for m in members(states[f]))
+        return all(f in states and good(f, a) for f, a in self.needs.items()) and all(f not in states or good(f, a) for f, a in self.may.items())
+
+
+class Node:
+    """A value with its state and its children: by field in an object, by position in an array."""
+
+    __slots__ = ("kids", "state", "value")
+
+    def __init__(self, value: Any):
+        self.value, self.state, self.kids = value, "null", {}
 
 
 class TreeAutomaton:
-    """Deterministic and bottom-up: leaves have the state of their type, an array the set of its entries' states, an object the first rule that takes it."""
+    """Deterministic and bottom-up. A leaf has the state of its type; an array the set of its entries' states, nulls left
+    out, an array among them as 'list'; an object the first rule that takes it, else 'other:' with its type tag, else
+    'object'."""
 
     def __init__(self, rules: list[Rule]):
         self.rules = rules
 
-    def state(self, value: Any) -> str:
-        if value is None:
+    def run(self, value: Any) -> Node:
+        """The tree of a value with the state of every node; no recursion, so that no depth is too great."""
+        root = Node(value)
+        order = [root]
+        for n in order:
+            if isinstance(n.value, dict):
+                n.kids = {str(k): Node(v) for k, v in n.value.items()}
+            elif isinstance(n.value, list):
+                n.kids = {k: Node(v) for k, v in enumerate(n.value)}
+            order.extend(n.kids.values())
+        for n in reversed(order):
+            n.state = self._state(n)
+        return root
+
+    def _state(self, n: Node) -> str:
+        v = n.value
+        if v is None:
             return "null"
-        if isinstance(value, bool):
-            return "bool"
-        if isinstance(value, (int, float)):
-            return "num"
-        if isinstance(value, str):
+        if isinstance(v, str):
             return "str"
-        if isinstance(value, list):
-            return "list" if value else "list0"
-        states = {str(k): self.state(v) for k, v in value.items()}
-        return next((r.state for r in self.rules if r.takes(value, states)), "object")
+        if isinstance(v, bool):
+            return "bool"
+        if isinstance(v, dict):
+            states = {k: x.state for k, x in n.kids.items()}
+            found = next((r.state for r in self.rules if r.takes(v, states)), None)
+            return found or (f"other:{v['type']}" if isinstance(v.get("type"), str) else "object")
+        if isinstance(v, list):
+            return "[" + "|".join(sorted({"list" if x.state.startswith("[") else x.state for x in n.kids.values()} - {"null"})) + "]"
+        return "num"
 
-    def shape(self, value: Any, depth: int = 2) -> str:
-        """The structural signature of a value: sorted fields with their states, down to a depth."""
-        if isinstance(value, dict) and depth:
-            return "{" + ",".join(sorted(f"{k}:{self.shape(v, depth - 1)}" for k, v in value.items())) + "}"
-        if isinstance(value, list) and depth:
-            return "[" + "|".join(sorted({self.shape(v, depth - 1) for v in value})) + "]"
-        return self.state(value)
+    def state(self, value: Any) -> str:
+        return self.run(value).state
+
+
+def shape(n: Node) -> str:
+    """The structural signature of a node: an object's sorted fields with the states they have reached, anything else its state."""
+    return "{" + ",".join(sorted(f"{k}:{x.state}" for k, x in n.kids.items())) + "}" if isinstance(n.value, dict) else n.state
 
 
+BLOCKS = ("text", "thinking", "tool_use", "tool_result", "other:", "str")
 AUTOMATON = TreeAutomaton(
     [
-        Rule("text", {"text": ("str", "null")}, "text"),
-        Rule("thinking", {"thinking": ("str", "null")}, "thinking"),
-        Rule("tool_use", {"name": ("*",)}, "tool_use"),
-        Rule("tool_result", {}, "tool_result"),
-        Rule("typed", {"type": ("str",)}),
+        Rule("text", {"text": ("str", "null")}, tag="text"),
+        Rule("thinking", {"thinking": ("str", "null")}, {"signature": ("str", "null")}, tag="thinking"),
+        Rule("tool_use", {"name": ("str", "null")}, tag="tool_use"),
+        Rule("tool_result", {}, {"content": (*BLOCKS, "null")}, tag="tool_result"),
         Rule("usage", {"total_tokens": ("num", "null")}),
-        Rule("metric", {"stage": ("*",)}),
-        Rule("message", {"role": ("*",), "content": ("*",)}),
-        Rule("action", {"messages": ("*",)}),
-        Rule("wrapper", {"actions": ("*",)}),
-        Rule("message", {"role": ("*",)}),
+        Rule("usage", {"input_tokens": ("num", "null"), "output_tokens": ("num", "null")}),
+        Rule("retry", {"attempt": ("num", "null"), "reason": ("str", "null")}),
+        Rule("metric", {"stage": ("str", "null")}, {"usage": ("usage", "null"), "retries": ("retry", "null")}),
+        Rule("message", {"role": ("str", "null"), "content": (*BLOCKS, "null")}),
+        Rule("action", {"messages": ("message", "bare", "str", "null")}, {"role": ("str", "null")}),
+        Rule("wrapper", {"actions": ()}),
+        Rule("bare", {"role": ("str", "null")}, {"content": ("null",), "messages": ("null",)}),
     ]
 )
 
@@ -104,67 +143,70 @@ def load(text: str | None) -> Any:
     return text if not isinstance(text, str) else MISSING
 
 
-def entries(value: Any) -> list[tuple[int, Any]]:
+def entries(n: Node | None) -> list[tuple[int, Node]]:
     """Entries with their positions; a lone string or object stands for an array of itself, a null entry is none."""
-    if value is None or value is MISSING:
+    if n is None or n.value is None:
         return []
-    return [(k, v) for k, v in enumerate(value) if v is not None] if isinstance(value, list) else [(0, value)]
+    return [(k, x) for k, x in n.kids.items() if x.value is not None] if isinstance(n.value, list) else [(0, n)]
 
 
 def text_of(value: Any) -> str | None:
+    """A field as text; null for one nested too deeply to be written."""
     if value is None or isinstance(value, str):
         return value
-    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+    try:
+        return json.dumps(value, ensure_ascii=False, sort_keys=True, default=repr)
+    except (RecursionError, TypeError, ValueError):
+        return None
 
 
-def flat(value: dict, but: tuple[str, ...] = ()) -> dict[str, str | None]:
-    """The fields of an object as text, nested objects spread to dotted names, arrays as JSON."""
+def flat(n: Node, but: tuple[str, ...] = ()) -> dict[str, str | None]:
+    """The fields of an object as text, a usage spread to dotted names; anything else as its text or value."""
+    if not isinstance(n.value, dict):
+        return {"text" if n.state == "str" else "value": text_of(n.value)}
     out: dict[str, str | None] = {}
-    for k, v in value.items():
+    for k, x in n.kids.items():
         if k in but:
             continue
-        if isinstance(v, dict) and k == "usage":
-            out.update({f"{k}.{a}": text_of(b) for a, b in v.items()})
+        if x.state == "usage":
+            out.update({f"{k}.{a}": text_of(b.value) for a, b in x.kids.items()})
         else:
-            out[str(k)] = text_of(v)
+            out[k] = text_of(x.value)
     return out
 
 
-def child(level: str, parent: str, position: int, value: Any) -> Iterator[tuple]:
-    """A node below a block or metric: an entry of a tool's result, a retry of a call."""
-    fields = flat(value) if isinstance(value, dict) else {"value": text_of(value)}
-    yield level, f"{parent}.{position}", parent, position, str(value.get("type", level)) if isinstance(value, dict) else AUTOMATON.state(value), AUTOMATON.shape(value, 1), fields
+#: A node below an episode: level, path, parent, position, variant, the node, fields not repeated in its row.
+Found = tuple[str, str, str | None, int, str, Node, tuple[str, ...]]
 
 
-def nodes(actions: str | None, metadata: str | None) -> Iterator[tuple]:
-    """level, path, parent, position, variant, shape, fields of every action, message, block, result entry, metric and retry of one episode."""
-    a = AUTOMATON
-    top = load(actions)
-    if isinstance(top, dict) and a.state(top) == "wrapper":
-        top = top["actions"]
+def nodes(actions: str | None, metadata: str | None) -> Iterator[Found]:
+    """Every action, message, block, result entry, metric and retry of one episode with its variant: the state that the automaton gives it.
+
+    A string in the place of a block is a text, one in the place of a message or action is its content.
+    """
+    top = AUTOMATON.run(None if (v := load(actions)) is MISSING else v)
+    if top.state == "wrapper":
+        top = top.kids["actions"]
     for i, act in entries(top):
-        if not isinstance(act, dict):
-            act = {"messages": [act]} if isinstance(act, str) else {"messages": act}
-        yield "action", f"{i}", None, i, "action" if act.get("messages") is not None else "action_without_messages", a.shape(act, 1), flat(act, ("messages",))
-        for j, msg in entries(act.get("messages")):
-            if not isinstance(msg, dict):
-                msg = {"content": msg}
-            yield "message", f"{i}.{j}", f"{i}", j, f"message_of_{a.state(msg.get('content'))}", a.shape(msg, 1), flat(msg, ("content",))
-            for k, block in entries(msg.get("content")):
-                if isinstance(block, dict):
-                    state = a.state(block)
-                    yield "block", f"{i}.{j}.{k}", f"{i}.{j}", k, str(block.get("type", state)), a.shape(block, 1), flat(block)
-                    if state == "tool_result" and isinstance(block.get("content"), list):
-                        for n, part in entries(block["content"]):
-                            yield from child("result", f"{i}.{j}.{k}", n, part)
-                else:
-                    yield "block", f"{i}.{j}.{k}", f"{i}.{j}", k, "text", a.state(block), {"text": text_of(block)}
-    meta = load(metadata)
-    for k, metric in entries(meta.get("generation_metrics") if isinstance(meta, dict) else None):
-        yield "metric", f"{k}", None, k, "metric", a.shape(metric), flat(metric) if isinstance(metric, dict) else {"value": text_of(metric)}
-        if isinstance(metric, dict) and isinstance(metric.get("retries"), (list, dict)):
-            for n, retry in entries(metric["retries"]):
-                yield from child("retry", f"{k}", n, retry)
+        own = isinstance(act.value, dict)
+        yield "action", f"{i}", None, i, act.state, act, ("messages",)
+        for j, msg in entries(act.kids.get("messages") if own else act):
+            said = isinstance(msg.value, dict)
+            yield "message", f"{i}.{j}", f"{i}", j, msg.state, msg, ("content",)
+            for k, block in entries(msg.kids.get("content") if said else msg):
+                at = f"{i}.{j}.{k}"
+                yield "block", at, f"{i}.{j}", k, "text" if block.state == "str" else block.state, block, ()
+                inside = block.kids.get("content") if block.state == "tool_result" else None
+                if inside is not None and inside.state.startswith("["):
+                    for n, part in entries(inside):
+                        yield "result", f"{at}.{n}", at, n, "text" if part.state == "str" else part.state, part, ()
+    meta = AUTOMATON.run(None if (v := load(metadata)) is MISSING else v)
+    for k, metric in entries(meta.kids.get("generation_metrics") if isinstance(meta.value, dict) else None):
+        yield "metric", f"{k}", None, k, metric.state, metric, ()
+        retries = metric.kids.get("retries") if isinstance(metric.value, dict) else None
+        if retries is not None and isinstance(retries.value, (list, dict)):
+            for n, retry in entries(retries):
+                yield "retry", f"{k}.{n}", f"{k}", n, retry.state, retry, ()
 
 
 def latest_episodes(episodes: DataFrame) -> DataFrame:
@@ -174,12 +216,13 @@ def latest_episodes(episodes: DataFrame) -> DataFrame:
     return episodes.select("episode_id", "saved_at", "actions", "metadata").withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(F.col("episode_id").cast("long").alias("episode_id"), "actions", "metadata")
 
 
-def flatten_episodes(episodes: DataFrame) -> DataFrame:
+def flatten_episodes(episodes: DataFrame, levels: tuple[str, ...] | None = None, fields: bool = True) -> DataFrame:
     """All nodes of the latest row of each episode, one row a node: the supertype table.
 
     episodes: episode_id, saved_at, actions, metadata; other columns are ignored. Null, empty, and broken-off records
     have no nodes (a broken `actions` leaves the metrics of a whole `metadata`); null entries have none, but keep their
-    position. Exact repeats and earlier checkpoints of an episode are dropped.
+    position. Exact repeats and earlier checkpoints of an episode are dropped. levels: only rows of these; without
+    `fields` the column is null and nothing is written out for it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +231,9 @@ def flatten_episodes(episodes: DataFrame) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for e, a, m in zip(*(b.column(k).to_pylist() for k in range(3))):
-                rows += [(e, *x[:6], list(x[6].items())) for x in nodes(a, m)]
+                for level, path, parent, position, variant, node, but in nodes(a, m):
+                    if levels is None or level in levels:
+                        rows.append((e, level, path, parent, position, variant, shape(node), list(flat(node, but).items()) if fields else None))
             cols = list(zip(*rows)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
@@ -213,21 +258,35 @@ TABLES: dict[str, dict[str, tuple[str, str]]] = {
 }
 
 
+#: Level and variants of each table; a table without variants takes those that no other table of its level names.
+ROUTES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "action": ("action", ()), "message": ("message", ()), "metric": ("metric", ()), "result": ("result", ()), "retry": ("retry", ()),
+    **{f"block_{v}": ("block", (v,)) for v in ("text", "thinking", "tool_use", "tool_result")}, "block_other": ("block", ()),
+}
+
+
 def typed_table(all_nodes: DataFrame, name: str) -> DataFrame:
-    """One subtype table with the supertype keys and its own typed columns; a field of another type is null there."""
-    level, _, variant = name.partition("_")
-    own = [n.partition("_")[2] for n in TABLES if n.startswith("block_") and n != "block_other"]
+    """One subtype table with the supertype keys and its own typed columns; a field of another type is null there.
+
+    Rows are routed by level and variant, the automaton's state; objects that bear a tag but not the fields of its
+    subtype have the variant 'other:' with that tag and go to block_other.
+    """
+    level, own = ROUTES[name]
     keep = F.col("level") == level
-    if variant:
-        keep &= ~F.col("variant").isin(own) if variant == "other" else F.col("variant") == variant
+    taken = [v for at, vs in ROUTES.values() if at == level for v in vs]
+    if own or taken:
+        keep &= F.col("variant").isin(*own) if own else ~F.col("variant").isin(*taken)
     cols = [F.col("fields").alias(c) if f == "*" else F.col("fields")[f].try_cast(t).alias(c) for c, (f, t) in TABLES[name].items()]
     return all_nodes.filter(keep).select("episode_id", "path", "parent", "position", "variant", "shape", *cols)
 
 
 def typed_tables(all_nodes: DataFrame) -> dict[str, DataFrame]:
-    return {name: typed_table(all_nodes, name) for name in TABLES}
+    """All subtype tables; the nodes are written once, so no table parses the episodes again."""
+    written = cut_table(all_nodes)
+    return {name: typed_table(written, name) for name in TABLES}
 
 
 def listed_children(all_nodes: DataFrame) -> DataFrame:
-    """child, episode_id, path of every content block and metric."""
-    return all_nodes.filter(F.col("level").isin("block", "metric")).select(F.col("variant").alias("child"), "episode_id", "path")
+    """child, episode_id, path of every content block and metric; the child is the variant, of an unknown one its tag."""
+    child = F.when(F.col("level") == "metric", F.lit("metric")).otherwise(F.regexp_replace("variant", "^other:", ""))
+    return all_nodes.filter(F.col("level").isin("block", "metric")).select(child.alias("child"), "episode_id", "path")

@@ -11,30 +11,30 @@ from .registry import query, table
 
 @query()
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.listed_children(nested.flatten_episodes(table(spark, folder, "episodes")))
+    return nested.listed_children(nested.flatten_episodes(table(spark, folder, "episodes"), ("block", "metric"), fields=False))
 
 
 @query()
 def p2_tool_uses(spark: SparkSession, folder: str) -> DataFrame:
     """The typed table of tool calls with its links to the message."""
-    return nested.typed_table(nested.flatten_episodes(table(spark, folder, "episodes")), "block_tool_use")
+    return nested.typed_table(nested.flatten_episodes(table(spark, folder, "episodes"), ("block",)), "block_tool_use")
 
 
 @query()
 def p2_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.typed_table(nested.flatten_episodes(table(spark, folder, "episodes")), "metric")
+    return nested.typed_table(nested.flatten_episodes(table(spark, folder, "episodes"), ("metric",)), "metric")
 
 
 @query()
 def p2_shapes(spark: SparkSession, folder: str) -> DataFrame:
     """How often each structural variant occurs."""
-    return nested.flatten_episodes(table(spark, folder, "episodes")).groupBy("level", "variant", "shape").agg(F.count("*").alias("n"))
+    return nested.flatten_episodes(table(spark, folder, "episodes"), fields=False).groupBy("level", "variant", "shape").agg(F.count("*").alias("n"))
 
 
 @query()
 def run_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Calls, tokens, seconds and retries by stage of the generation metrics."""
-    m = nested.typed_table(nested.flatten_episodes(table(spark, folder, "episodes")), "metric")
+    m = nested.typed_table(nested.flatten_episodes(table(spark, folder, "episodes"), ("metric",)), "metric")
     stage = F.regexp_replace("stage", "_[0-9]+$", "")
     tokens = F.coalesce("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
     return m.groupBy(stage.alias("stage")).agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"), F.round(F.sum("latency_s"), 3).alias("seconds"), F.count("retries").alias("retried"), F.count_if(F.col("total_tokens").isNull()).alias("without_usage"))
@@ -43,5 +43,5 @@ def run_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def tool_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks by kind and tool in each episode."""
-    n = nested.flatten_episodes(table(spark, folder, "episodes")).filter("level = 'block'")
+    n = nested.flatten_episodes(table(spark, folder, "episodes"), ("block",))
     return n.groupBy("episode_id", "variant", F.col("fields")["name"].alias("tool")).agg(F.count("*").alias("n"))

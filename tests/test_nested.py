@@ -56,13 +56,35 @@ def test_typed_tables_keep_links(spark):
     assert [(r.parent, r.text) for r in t["result"].collect()] == [("0.2.0", "in")]
 
 
-def test_shapes():
+def test_states():
     a = N.AUTOMATON
     assert a.state({"type": "text", "text": "x"}) == "text"
-    assert a.state({"type": "new", "x": 1}) == "typed"
+    assert a.state({"type": "new", "x": 1}) == "other:new"
     assert a.state({"role": "u", "content": []}) == "message"
-    assert a.state({"x": 1}) == "object" and a.state([]) == "list0" and a.state(True) == "bool"
-    assert a.shape({"b": 1, "a": [1, "x"]}) == "{a:[num|str],b:num}"
+    assert a.state({"x": 1}) == "object" and a.state([]) == "[]" and a.state(True) == "bool" and a.state([[1], None, "x"]) == "[list|str]"
+    assert N.shape(a.run({"b": 1, "a": [1, "x"]})) == "{a:[num|str],b:num}"
+
+
+def test_states_pass_through_arrays():
+    a = N.AUTOMATON
+    block = {"type": "text", "text": "x"}
+    assert a.state({"role": "u", "content": [block, "bare", {"type": "tool_result", "content": [block]}]}) == "message"
+    assert a.state({"role": "u", "content": [5, None]}) == "object"
+    assert a.state({"type": "tool_result", "content": [block, 5]}) == "other:tool_result"
+    good, bad = {"role": "dm", "messages": [{"role": "u", "content": [block]}]}, {"role": "dm", "messages": [{"role": "u", "content": [5]}]}
+    assert a.state(good) == "action" and a.state(bad) == "object"
+    deep = None
+    for _ in range(5000):
+        deep = [deep]
+    assert a.state(deep) == "[list]"
+
+
+def test_rows_are_routed_by_state_not_by_tag(spark):
+    odd = {"type": "text", "nope": {"a": 1}}
+    t = N.typed_tables(N.flatten_episodes(frame(spark, [(1, None, json.dumps([{"role": "dm", "messages": [{"role": "u", "content": [odd, {"type": "text", "text": "t"}, {"type": "image", "url": "u"}]}]}]), None)])))
+    assert [(r.path, r.text) for r in t["block_text"].collect()] == [("0.0.1", "t")]
+    assert sorted((r.path, r.variant) for r in t["block_other"].collect()) == [("0.0.0", "other:text"), ("0.0.2", "other:image")]
+    assert listed(spark, [(1, None, json.dumps([{"messages": [{"content": [odd]}]}]), None)]) == [("text", 1, "0.0.0")]
 
 
 def test_very_long_text(spark):
