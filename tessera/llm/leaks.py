@@ -1,12 +1,13 @@
 """Evaluation texts leaking into training text: rare n-gram seeds joined to test items, Smith-Waterman alignment of the hits.
 
-The test items are the query set. They are read in blocks of bounded size, so what is broadcast never grows with the
-corpus; each block is one scan of the corpus without a shuffle.
+The test items are the query set. They are read in blocks bounded in bytes, so what is broadcast never grows, and n-grams
+are rare or not among all items, whatever the blocks. One block is one scan of the corpus without a shuffle; for several,
+the normalised words are written once and each block reads those.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .normal import words
 
 SCHEMA = "doc_id long, item_id long, score int, span int, matched int, item_start int, doc_start int"
@@ -52,19 +54,25 @@ def grams(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def build_index(items: list[tuple[int, str]], n: int = 4, rare: float = 0.01) -> Index:
-    """items: id and text without stock lines. An n-gram is a seed if at most max(2, rare x items) items have it."""
+def gram_hash(words_: list[str]) -> int:
+    """The name of an n-gram across blocks."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(" ".join(words_)) - 2**63
+
+
+def build_index(items: list[tuple[int, str]], n: int = 4, common: frozenset[int] = frozenset()) -> Index:
+    """items: id and text without stock lines. Every n-gram whose hash is not among the common ones is a seed."""
     vocab: dict[str, int] = {}
-    codes = [np.array([vocab.setdefault(w, len(vocab)) for w in words(t)], np.int32) for _, t in items]
+    told = [words(t) for _, t in items]
+    codes = [np.array([vocab.setdefault(w, len(vocab)) for w in t], np.int32) for t in told]
     key = [grams(c, n) for c in codes]
+    rare = [np.array([gram_hash(t[k : k + n]) not in common for k in range(len(g))], bool) for t, g in zip(told, key)] if common else [np.ones(len(g), bool) for g in key]
     item = np.repeat(np.arange(len(items)), [len(k) for k in key]) if items else np.zeros(0, int)
     at = np.concatenate([np.arange(len(k)) for k in key]) if items else np.zeros(0, int)
     flat = np.concatenate(key) if items else np.zeros(0, np.uint64)
-    if len(flat):
-        both = np.unique(np.stack([flat, item.astype(np.uint64)], 1), axis=0)
-        seen, count = np.unique(both[:, 0], return_counts=True)
-        keep = count[np.searchsorted(seen, flat)] <= max(2, rare * len(items))
-        flat, item, at = flat[keep], item[keep], at[keep]
+    keep = np.concatenate(rare) if items else np.zeros(0, bool)
+    flat, item, at = flat[keep], item[keep], at[keep]
     order = np.argsort(flat, kind="stable")
     keys, first = np.unique(flat[order], return_index=True)
     return Index([i for i, _ in items], codes, vocab, keys, np.append(first, len(flat)), item[order].astype(np.int32), at[order].astype(np.int32), n)
@@ -92,11 +100,13 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         up = h[:, 1:] - 1
         use = up > d
         g, gsi, gsj, gm = np.where(use, up, d), np.where(use, si[:, 1:], dsi), np.where(use, sj[:, 1:], dsj), np.where(use, m[:, 1:], dm)
-        for _ in range(2):  # up to two words put in at one place
-            left = g[:, :-1] - 1
-            use = left > g[:, 1:]
-            g[:, 1:], gsi[:, 1:], gsj[:, 1:], gm[:, 1:] = np.where(use, left, g[:, 1:]), np.where(use, gsi[:, :-1], gsi[:, 1:]), np.where(use, gsj[:, :-1], gsj[:, 1:]), np.where(use, gm[:, :-1], gm[:, 1:])
-        np.maximum(g, 0, out=g)
+        # words put in: the best of all places before, less one a word, is a running maximum of g + column
+        risen = g + cols
+        top = np.maximum.accumulate(risen, 1)
+        fresh = np.ones_like(use)
+        fresh[:, 1:] = risen[:, 1:] > top[:, :-1]
+        of = np.maximum.accumulate(np.where(fresh, cols, 0), 1)
+        g, gsi, gsj, gm = np.maximum(top - cols, 0), np.take_along_axis(gsi, of, 1), np.take_along_axis(gsj, of, 1), np.take_along_axis(gm, of, 1)
         h[:, 1:], si[:, 1:], sj[:, 1:], m[:, 1:] = g, gsi, gsj, gm
         j = h.argmax(1)
         v = h[rows, j]
@@ -191,14 +201,14 @@ def candidates(code: np.ndarray, doc: np.ndarray, index: Index, seeds: int, widt
     return both[~same][:, :3]
 
 
-def search(index: Index, seeds: int, width: int, least: int, identity: float, pairs: int = 256, part_rows: int = 1000):
-    """The worker: Arrow batches of (doc_id, text) to Arrow batches of alignments."""
+def search(index: Index, seeds: int, width: int, least: int, identity: float, pairs: int = 256, part_rows: int = 1000, split: Callable[[str | None], list[str]] = words):
+    """The worker: Arrow batches of (doc_id, text) to Arrow batches of alignments; split gives the words of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = index.vocab.get
         for batch in (b.slice(k, part_rows) for b in batches for k in range(0, b.num_rows, part_rows)):
             ids = batch.column(0).to_pylist()
-            toks = [words(t) for t in batch.column(1).to_pylist()]
+            toks = [split(t) for t in batch.column(1).to_pylist()]
             lens = np.array([len(t) for t in toks], np.int64)
             code = np.fromiter((get(w, -1) for t in toks for w in t), np.int32, int(lens.sum()))
             start = np.concatenate([[0], np.cumsum(lens)])
@@ -215,9 +225,13 @@ def search(index: Index, seeds: int, width: int, least: int, identity: float, pa
                         score, span, m, i0, j0 = stretch(x, y, least, identity) or (0, 0, 0, 0, 0)
                     if span >= least and m >= identity * span and score > rows.get((d, i), (0,))[0]:
                         rows[d, i] = (score, span, m, i0, int(s - start[d] + j0))
-            keys = list(rows)
+            best: dict[tuple[int, int], tuple] = {}  # an item_id with two texts is one item
+            for (d, i), r in rows.items():
+                if r[0] > best.get((d, index.ids[i]), (0,))[0]:
+                    best[d, index.ids[i]] = r
+            keys = list(best)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[d] for d, _ in keys], pa.int64()), pa.array([index.ids[i] for _, i in keys], pa.int64()), *(pa.array([rows[x][c] for x in keys], pa.int32()) for c in range(5))],
+                [pa.array([ids[d] for d, _ in keys], pa.int64()), pa.array([i for _, i in keys], pa.int64()), *(pa.array([best[x][c] for x in keys], pa.int32()) for c in range(5))],
                 names=["doc_id", "item_id", "score", "span", "matched", "item_start", "doc_start"],
             )
 
@@ -232,24 +246,60 @@ def stock_free(items: DataFrame) -> DataFrame:
     return items.select("item_id", "text", line.alias("_line")).join(shared, "_line", "left").select("item_id", F.when(F.col("_stock"), cut).otherwise(F.col("text")).alias("text"))
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, least: int = 30, identity: float = 0.82, seeds: int = 6, width: int = 24, block: int = 2000) -> DataFrame:
+def common_grams(clean: DataFrame, n: int, rare: float, total: int) -> frozenset[int]:
+    """Hashes of the n-grams that more than max(2, rare x total) of all items have; at most the items' mean length / rare of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [(i, {gram_hash(w[k : k + n]) for k in range(len(w) - n + 1)}) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in (words(t),)]
+            yield pa.RecordBatch.from_arrays([pa.array([g for _, s in own for g in s], pa.int64()), pa.array([i for i, s in own for _ in s], pa.int64())], names=["gram", "item_id"])
+
+    seen = clean.select("item_id", "text").mapInArrow(run, "gram long, item_id long").distinct().groupBy("gram").agg(F.count("*").alias("n"))
+    return frozenset(r.gram for r in seen.filter(F.col("n") > max(2, rare * total)).select("gram").toLocalIterator())
+
+
+def item_blocks(clean: DataFrame, most_chars: int, buckets: int = 4096) -> list[tuple[int, int]]:
+    """Ranges of hash buckets of item ids whose texts have at most `most_chars` characters together (a single bucket may have more); at least one."""
+    sums = clean.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(buckets)).alias("bucket")).agg(F.sum(F.length("text")).alias("n"))
+    out, lo, full = [], 0, 0
+    for r in sums.orderBy("bucket").collect():
+        if full and full + r.n > most_chars:
+            out.append((lo, r.bucket))
+            lo, full = r.bucket, 0
+        full += r.n
+    return [*out, (lo, buckets)]
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, least: int = 30, identity: float = 0.82, seeds: int = 6, width: int = 24, rare: float = 0.01, block_chars: int = 8_000_000) -> DataFrame:
     """Documents that hold at least `least` successive words of a test item, one row per document and item.
 
     Words are compared as read, not as typed (case, accents, lookalike letters, markup, line-end hyphens, unseen
     characters); scattered changes of single words are passed over as long as `identity` of the aligned words agree, in the
     alignment as a whole or in a stretch of it that no changed block parts.
     documents: doc_id, text; items: item_id, text; further columns are ignored. Null or empty texts give no row; items
-    of fewer than `least` words can't leak; repeated rows of a document give one row each.
+    of fewer than `least` words can't leak; two texts under one item_id are both searched for and name that item; repeated
+    rows of a document give one row each. A seed is an n-gram that at most max(2, `rare` x items) of all items have.
     Output: doc_id, item_id, score, span (item words covered), matched, item_start, doc_start (word positions).
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull()).dropDuplicates(["item_id"])
-    clean = stock_free(items)
-    blocks = max(1, -(-items.count() // block))
+    n = 4
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    clean = cut(stock_free(items))
+    common = common_grams(clean, n, rare, clean.select("item_id").distinct().count())
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = item_blocks(clean, block_chars)
+    split = words
+    if len(blocks) > 1:
+        docs, split = cut(docs.mapInArrow(told, "doc_id long, text string")), str.split
     out = None
-    for b in range(blocks):
-        rows = clean.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()
-        index = build_index([(r.item_id, r.text) for r in rows])
-        part = docs.mapInArrow(search(index, seeds, width, least, identity), SCHEMA)
+    for lo, hi in blocks:
+        rows = clean.filter(F.pmod(F.xxhash64("item_id"), F.lit(4096)).between(lo, hi - 1)).orderBy("item_id", "text").collect()
+        index = documents.sparkSession.sparkContext.broadcast(build_index([(r.item_id, r.text) for r in rows], n, common))
+        part = docs.mapInArrow(lambda batches, index=index: search(index.value, seeds, width, least, identity, split=split)(batches), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as their normalised words with a space between."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(words(t)) for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])

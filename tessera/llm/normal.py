@@ -14,7 +14,8 @@ LOOKALIKES = {
 }
 LOOKS = str.maketrans(LOOKALIKES)
 UNSEEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁪-⁯︀-️﻿]")
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
+#: A tag of any length where its attributes are well-formed, one of up to 300 characters otherwise ("a <b" with a ">" far behind is no tag).
+TAG = re.compile(r"""</?[A-Za-z](?:[^<>]{0,300}|[\w:-]*(?:\s+[\w:@.-]+(?:\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))?)*\s*/?)>""")
 SPLIT_WORD = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t>*|#]*(?=[^\W\d_])")
 MIXED = re.compile(r"[^\W\d_]+")
 WORD = re.compile(r"[^\W_]+")

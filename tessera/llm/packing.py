@@ -12,6 +12,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,32 +23,20 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text into the stretches that byte-pair merges stay within.
 STRETCH = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECE = "doc_id long, piece_no int, container_id string, n_tokens int, start int, end int"
-SAFE = 20_000
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """The tokenizer of a rank file; read once in each worker."""
+def encoder(ranks: bytes):
+    """The tokenizer of a rank file's content; built once in each worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=STRETCH, mergeable_ranks=ranks, special_tokens={})
+    known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("public", pat_str=STRETCH, mergeable_ranks=known, special_tokens={})
 
 
 def count_tokens(enc, text: str) -> int:
-    """Tokens of a whole text; very long texts are encoded in stretches that end before white space."""
-    if len(text) <= SAFE:
-        return len(enc.encode_ordinary(text))
-    n = at = 0
-    while at < len(text):
-        to = min(len(text), at + SAFE)
-        if to < len(text):
-            k = max(text.rfind(" ", at + 1, to), text.rfind("\n", at + 1, to))
-            to = k if k > at else to
-        n += len(enc.encode_ordinary(text[at:to]))
-        at = to
-    return n
+    """Tokens of a whole text, however long, encoded at once."""
+    return len(enc.encode_ordinary(text))
 
 
 def divided(enc, text: str, capacity: int) -> list[tuple[int, int, int]]:
@@ -114,16 +103,19 @@ def pack(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, most:
     No document is divided unless it alone exceeds the capacity; then each of its pieces is as long as fits and the
     pieces are placed like documents. documents: doc_id, text; other columns are ignored. Null and empty texts have no
     tokens and still get a container, one that is open or a new one. Of every `look_ahead` pieces the larger are placed
-    first, which leaves the small ones for the gaps. Repeated rows are placed one by one. Container ids
-    name the partition and the container in it, so equal input partitions give equal ids.
+    first, which leaves the small ones for the gaps; look_ahead=1 is the plain online method. Repeated rows are placed one
+    by one. Container ids name the partition and the container in it: equal input partitions give equal ids at every size.
     """
     if capacity < 1:
         raise ValueError("a container must take at least one token")
 
+    # the rank file (under 2 MB) is read on the driver only, so no worker needs it on its disk
+    ranks = documents.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = encoder(ranks.value)
         context = TaskContext.get()
         part = f"{context.partitionId():06d}" if context else uuid.uuid4().hex[:6]
         bins = OpenContainers(capacity, most)

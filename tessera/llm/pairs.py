@@ -8,6 +8,7 @@ language are rules on one pair.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -15,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-from .language import language
+from ..session import cut_table
+from .language import language, rules_out
 from .normal import plain
-from .truncation import ENDING, ENDING_NAMES, ending_columns, judged, shortened, word_closings
+from .truncation import ENDING, ENDING_NAMES, WordCounts, added, ending_columns, judged, shortened, word_columns
 
 # Stand-ins for an answer.
 PLACEHOLDERS = frozenset("none null nil nan undefined na n/a tbd todo empty missing void blank noanswer noresponse nooutput".split())
@@ -33,21 +34,22 @@ def joined(lines: str) -> re.Pattern:
     return re.compile("".join(x.strip() for x in lines.splitlines()), re.I)
 
 
-# Ways to decline, to excuse it and to lead up to it.
+# The grammar of declining. A refusal is a negated ability, will or permission with an act of answering, a verb
+# of declining with its speaker, or a request that is not met; an excuse is regret, thanks for understanding, or a ground.
 REFUSE = joined(
-    r"""\b(?:can(?:no|')t|can not|could not|couldn't|won't|will not|would not|wouldn't|unable|not able|not in a position|must not|may not|not allowed|not permitted)\b.{0,60}\b(?:help|assist|answer|discuss|provide|give|write|talk|continue|produce|comment|go into|take part|do (?:it|that|this|so)|comply|fulfil|engage|support|respond|share|say|offer|process)
-    |\b(?:i|we)\b.{0,25}\b(?:decline|refuse|(?:must|have to|will) pass|abstain|rather not|prefer (?:not|to leave)|choose not|am not comfortable|keep away|leave (?:it|this|that) (?:alone|out))
-    |\brather not\b|\bnot comfortable\b|\bkeep away from\b|\bhave been asked to\b|\bhave to decline\b|\bprefer to leave alone\b|\bprefer a different question\b
-    |\bguidelines do not let\b|\bagainst my\b|\bnobody should hear\b|\bcan(?:not|'t) be (?:covered|processed|answered|discussed|fulfilled)\b|\braises too many concerns\b|\bno part of\b.{0,80}\bcovered\b
-    |\bnot be right for me\b|\bbetter left unsaid\b|\bask somebody else\b|\bno comment\b|\bsorry,? no\b|\brequest (?:is )?(?:declined|denied|refused)\b|\bnot something i\b|\bdon't produce\b|\bdo not produce\b|\bi will not (?:answer|do it|take part)\b|\bmust pass on\b|\btake a position\b
+    r"""^(?:(?=.*\b(?:i|we|me|us|my|our|assistant|model)\b).*?|\W*(?:sorry\W+)?)\b(?:can(?:no|')t|can not|could not|couldn't|won't|will not|would not|wouldn't|do not|don't|unable|not able|not in a position|must not|may not|not allowed|not permitted|not let|not right)\b.{0,60}\b(?:help|assist|answer|discuss|provide|give|write|talk|speak|continue|produce|comment|go into|take (?:part|a position|sides)|do (?:it|that|this|so)|comply|fulfil|engage|support|respond|reply|share|say|offer|process|create|generate|advise|touch|covered|me)\b
+    |\b(?:i|we)\b.{0,25}\b(?:declin\w*|refus\w*|(?:must|have to|will) pass|abstain|(?:would )?rather not|prefer|choose not|(?:am|are) not comfortable|keep away|leave (?:it|this|that) (?:alone|out)|(?:have been|was) asked to)\b
+    |\b(?:rather not|not comfortable|keep away from|must pass|have to decline|prefer to leave|prefer a different|no comment|sorry,? no|not something (?:i|we)|against (?:my|our)|outside (?:of )?(?:my|our|what (?:i|we)))\b
+    |\b(?:request|question)\s+(?:(?:is|was|has|had|been|must|will|be)\s+)*(?:declined|denied|refused)\b|\b(?:is|are|was|were|has been)\b.{0,12}\b(?:better left|left (?:unsaid|alone))\b|\b(?:must|has to|have to|needs to) be (?:declined|denied|refused|turned down)\b|\b(?:raises?|poses?|carries) too (?:many|much|great)\b
+    |\b(?:can(?:not|'t)|could not|will not|should not|must not) be (?:covered|processed|answered|discussed|fulfilled|told|given|shared|said)\b
+    |\b(?:better|best)\b.{0,80}\b(?:unsaid|unexplained|unanswered|untold|somebody else|someone else)\b|\bask (?:some(?:body|one) else|another)\b|\bno part of\b.{0,80}\bcovered\b|\bnobody should\b
     |^as an? (?:ai|assistant|language model)\b.{0,30}\b(?:don't|do not|can't|cannot|won't)
-    |\bbe turned down\b|\boutside of what i\b|\boutside (?:of )?my\b|\bbest that\b.{0,80}\b(?:unexplained|unsaid|unanswered|untold)\b
-    |no puedo|no me es posible|prefiero no|no está permitido|ne peux pas|impossible d'aider|il m'est impossible|préfère ne pas|kann (?:ich )?(?:dazu |dabei |hier )?nicht|darf ich nicht|nichts sagen|nicht helfen|möchte ich (?:lieber )?nicht|non posso|non mi è possibile|preferisco non|kan ik niet|mag ik|liever niet|praat ik liever|не могу|нельзя|не хочу|предпочёл бы не|предпочитаю не|不能|无法|不方便|拒绝"""
+    |no puedo|no podemos|no me es posible|prefiero no|no está permitido|ne peux pas|ne pouvons pas|impossible d'aider|il m'est impossible|préfère ne pas|kann ich (?:\w+ )?nicht|ich kann (?:\w+ ){0,2}nicht|darf ich nicht|nichts sagen|nicht helfen|möchte ich (?:lieber )?nicht|non posso|non possiamo|non mi è possibile|preferisco non|kan ik (?:niet|geen)|mag ik|liever niet|praat ik liever|не могу|не можем|нельзя|не хочу|предпочёл бы не|предпочитаю не|不能|无法|不方便|拒绝"""
 )
 PARDON = joined(
-    r"""^(?:i'm sorry|i am sorry|sorry|apologies|unfortunately|with regret|i regret|lo siento|por desgracia|désolé|leider|es tut mir leid|mi dispiace|purtroppo|het spijt me|helaas|извините|к сожалению|很抱歉|对不起|抱歉)[.!,。]?$
-    |\bthank you for your (?:patience|understanding)\b|\bhope you understand\b|\blet us leave it\b|\btoo delicate\b|\bwish to avoid\b|\btalk about something else\b|\bask me about\b|\banother topic\b|\bsilence seems\b|\bcould (?:lead to harm|offend|hurt)\b
-    |\bmight (?:hurt|offend|harm|be seen)\b|\bqualified professional\b|\bseen as an endorsement\b|\bleft out by any reply\b|\bwell-being\b|\bnot be responsible\b|\bso i will not\b|\bbest that\b.{0,80}\b(?:silent|not|unsaid|nothing|alone)\b|\bsafer\b|\bnot be appropriate\b|verständnis|entschuldig|gracias|merci|grazie|scusi|begrip|谅解|谢谢|поним|спасибо"""
+    r"""^(?:i'm sorry|i am sorry|sorry|apologies|my apologies|unfortunately|with regret|i regret|lo siento|por desgracia|désolé|leider|es tut mir leid|mi dispiace|purtroppo|het spijt me|helaas|извините|к сожалению|很抱歉|对不起|抱歉)[.!,。]?$
+    |\bthank you for (?:your (?:patience|understanding)|understanding)\b|\bhope you (?:can )?understand\b|\blet us (?:leave|talk)\b|\btoo (?:delicate|sensitive|dangerous|personal)\b|\bwish to avoid\b|\b(?:something else|another topic|a different (?:topic|question))\b|\bask me (?:about|anything)\b|\bsilence\b
+    |\b(?:could|might|may)\b.{0,30}\b(?:harm|offend|hurt|be seen|be misused)\b|\bqualified professional\b|\bseen as an endorsement\b|\bleft out by any reply\b|\bwell-being\b|\bnot be (?:responsible|appropriate)\b|\bso i will not\b|\bbest that\b.{0,80}\b(?:silent|not|nothing|alone)\b|\bsafer\b|verständnis|entschuldig|gracias|merci|grazie|scusi|begrip|谅解|谢谢|поним|спасибо"""
 )
 LEADUP = re.compile(r"^(?:you (?:would like|ask|asked|want)\b.*|(?:sure|of course|certainly|okay|well)\W*|thank you for (?:asking|your question)\W*|(?:that is )?an? (?:interesting|good|great) question\W*)$", re.I)
 SENTENCE = re.compile(r"""(?<=[.!?])[”"'’)*_]*\s+|(?<=[。！？])\s*|\n+""")
@@ -56,50 +58,73 @@ ASKED = re.compile(r"\b(?:translat\w*|translation)\b|\b(?:in|into|to|auf|en|in h
 
 
 def is_empty(text: str | None) -> bool:
-    """Null, blank, or nothing but a placeholder or an empty shell (fence, tags, quotes, label)."""
+    """Null, blank, or nothing but a placeholder or an empty shell (fence, tags, quotes, label), however much white space and markup is around it."""
     if text is None:
         return True
-    if len(text) > 200:
-        return not any(c.isalnum() for c in text)
-    t = re.sub(r"</?[A-Za-z][\w-]*/?>|```\w*", " ", text).strip().lower()
+    t = re.sub(r"</?[A-Za-z][\w-]*/?>|```\w*", " ", text) if "<" in text or "```" in text else text
+    t = " ".join(t.split()).lower()
     if not any(c.isalnum() for c in t):
         return True
-    bare = re.sub(r"[^\w/]", "", t)
-    return bare in PLACEHOLDERS or bool(SHELL.fullmatch(t.strip(" *_#>[](){}\"'`")) and ":" in t)
+    core = t.strip(" *_#>[](){}\"'`")
+    if len(core) > 40:  # longer than every placeholder and shell
+        return len(bare := re.sub(r"[^\w/]", "", core)) <= 12 and bare in PLACEHOLDERS
+    return re.sub(r"[^\w/]", "", t) in PLACEHOLDERS or bool(SHELL.fullmatch(core)) and ":" in t
+
+
+def repeats(q: list[str], t: list[str], least: float = 0.66) -> bool:
+    """Whether t is q, once or more, with at least that share of their words matched in order.
+
+    Words that can't match are ruled out by counting before anything is compared; the copies are then matched one after
+    the other, so the work grows with the length of t and not with its square.
+    """
+    k = max(1, round(len(t) / len(q)))
+    both = len(t) + k * len(q)
+    have, want = Counter(t), Counter(q)
+    if 2 * sum(min(n, k * want[w]) for w, n in have.items() if w in want) <= least * both:
+        return False
+    if k <= 2:
+        return SequenceMatcher(None, q * k, t, autojunk=False).ratio() > least
+    same = at = 0
+    while at < len(t):
+        window = t[at : at + len(q) + max(4, len(q) // 4)]
+        found = [m for m in SequenceMatcher(None, q, window, autojunk=False).get_matching_blocks() if m.size]
+        same += sum(m.size for m in found)
+        at += found[-1].b + found[-1].size if found else len(window)
+    return 2 * same > least * both
 
 
 def is_copy(question: str, answer: str) -> bool:
     """The answer is the question again, once or more, exactly or slightly changed. Words after a colon, given back without what stands before it, are the text that the question asks to rework."""
     q, a = TOKEN.findall(plain(question)), TOKEN.findall(plain(answer))
-    if not q or not a or len(a) > 4 * len(q) + 8 or len(a) < 0.5 * len(q):
+    if not q or not a or len(a) < 0.5 * len(q):
         return False
     head, colon, payload = question.partition(":")
     if colon and payload.strip():
-        h = TOKEN.findall(plain(head))
-        if len(h) <= 10 and sum(x in a for x in set(h)) < 0.6 * len(set(h)):
+        h = set(TOKEN.findall(plain(head)))
+        if len(h) <= 10 and sum(x in a for x in h) < 0.6 * len(h):
             return False
-    tries = [a]
+    if repeats(q, a):
+        return True
     b = TOKEN.findall(plain(LEAD.sub("", answer)))
-    if b and b != a:
-        tries.append(b)
-    for t in tries:
-        k = max(1, round(len(t) / len(q)))
-        m = SequenceMatcher(None, q * k, t, autojunk=False)
-        if m.real_quick_ratio() > 0.66 and m.quick_ratio() > 0.66 and m.ratio() > 0.66:
-            return True
-    return False
+    return bool(b) and b != a and repeats(q, b)
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in (x.strip(" \t*_>#") for x in SENTENCE.split(text)) if s and any(c.isalnum() for c in s)]
+def sentences(text: str) -> Iterator[str]:
+    at = 0
+    for m in SENTENCE.finditer(text):
+        if s := text[at : m.start()].strip(" \t*_>#"):
+            yield s
+        at = m.end()
+    if s := text[at:].strip(" \t*_>#"):
+        yield s
 
 
 def is_refusal(answer: str) -> bool:
-    """Every sentence declines, excuses or leads up to that, and one declines outside quotes."""
-    if len(answer) > 1500:
-        return False
+    """Every sentence declines, excuses or leads up to that, and one declines outside quotes. Texts of any length are read until a sentence says something else."""
     declined = False
     for s in sentences(answer.replace("’", "'")):
+        if not any(c.isalnum() for c in s):
+            continue
         bare = QUOTED.sub(" ", s) if s.count('"') >= 2 or "“" in s or "«" in s else s
         if REFUSE.search(bare) and not re.search(r"\bbut here\b|\bhere is\b|\bhowever, here\b", bare, re.I):
             declined = True
@@ -109,13 +134,23 @@ def is_refusal(answer: str) -> bool:
 
 
 def foreign(question: str, answer: str) -> bool:
-    """More than a quoted sentence of the answer is in another language than the question, which asked for none."""
-    own = language(question)
-    if own is None or ASKED.search(question):
+    """More than a quoted sentence of the answer is in a language that the question is not in, and did not ask for."""
+    if ASKED.search(question):
         return False
-    quoted = sum(language(q) not in (None, own) for q in QUOTED.findall(answer))
-    bare = sentences(QUOTED.sub(" ", answer))
-    strange = sum(language(s) not in (None, own) and len(TOKEN.findall(s)) >= 4 for s in bare)
+    own = language(question)
+    ruled: dict[str, bool] = {}
+
+    def other(text: str) -> bool:
+        code = language(text)
+        if code is None or code == own:
+            return False
+        if code not in ruled:
+            ruled[code] = own is not None or rules_out(question, code)
+        return ruled[code]
+
+    quoted = sum(map(other, QUOTED.findall(answer)))
+    bare = [x for x in sentences(QUOTED.sub(" ", answer)) if any(c.isalnum() for c in x)]
+    strange = sum(other(s) and len(TOKEN.findall(s)) >= 4 for s in bare)
     return strange >= 2 or (strange == 1 and 2 * strange >= len(bare)) or quoted >= 2
 
 
@@ -139,24 +174,42 @@ def pair_rows(goody: DataFrame, eval_results: DataFrame, processed_rows: DataFra
     return rows.withColumn("id", F.concat_ws(":", "pair_table", F.col("pair_id").cast("string"))).withColumn("both", F.col("pair_table") == "processed_rows")
 
 
-def find_defects(rows: DataFrame) -> DataFrame:
+#: The order in which a pair's defects count.
+RANK = ("empty", "refusal", "copy", "language", "truncated")
+
+
+def find_defects(rows: DataFrame, flush: int = 200_000) -> DataFrame:
     """pair_table, pair_id, defect for every defective pair. rows: as of pair_rows().
 
     One defect a pair, the first of: empty, refusal, copy, language, truncated. A pair whose question is null can only be
-    empty or truncated. Exact repeats of a row are one case, repeated pairs under other ids are each named; an empty
-    table gives no row. The pairs are read in scans; of the texts only the distinct answers are shuffled, to be sorted.
+    empty, refusal or truncated. Exact repeats of a row are one case, repeated pairs under other ids are each named; an
+    empty table gives no row. One scan gives the rules' verdicts, the endings and the word counts; of the texts only the
+    distinct answers are shuffled, to be sorted.
     """
+    names = ["id", "pair_table", "pair_id", "defect", *ENDING_NAMES, "place", "n", "closed"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = WordCounts()
         for b in batches:
             q, a, both = (b.column(k).to_pylist() for k in (3, 4, 5))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array([rule(*x) for x in zip(q, a, both)], pa.string()), *ending_columns(a)], names=["id", "pair_table", "pair_id", "defect", *ENDING_NAMES])
+            for t in a:
+                if t:
+                    counts.add(t)
+            none = [pa.nulls(len(a), k) for k in kinds[-3:]]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array([rule(*x) for x in zip(q, a, both)], pa.string()), *ending_columns(a), *none], schema=schema)
+            if len(counts) > flush:
+                yield word_columns(counts, schema)
+        yield word_columns(counts, schema)
 
     rows = rows.select("id", "pair_table", "pair_id", "question", "answer", "both")
-    schema = ENDING.replace("id string,", "id string, pair_table string, pair_id long, defect string,")
-    rules = cut(rows.mapInArrow(run, schema).dropDuplicates(["id", "hash", "defect"]))
+    out = ENDING.replace("id string,", "id string, pair_table string, pair_id long, defect string,") + ", place string, n long, closed long"
+    all_ = cut_table(rows.mapInArrow(run, out))
+    rules = all_.filter("place is null").select("id", "pair_table", "pair_id", "defect", *ENDING_NAMES).dropDuplicates(["id", "hash", "defect"])
     answers = rows.select("id", F.col("answer").alias("text")).filter("text is not null")
     ends = rules.filter("defect is null and kind <> 'none'").select("id", *ENDING_NAMES)
-    cuts = judged(ends, word_closings(answers)).filter("cut").select("id").union(shortened(answers)).distinct().select("id", F.lit("truncated").alias("cut_off"))
-    named = rules.select("id", "pair_table", "pair_id", "defect").join(cuts, "id", "left").withColumn("defect", F.coalesce("defect", "cut_off"))
-    return named.filter("defect is not null").groupBy("pair_table", "pair_id").agg(F.min("defect").alias("defect"))
+    cuts = judged(ends, added(all_)).filter("cut").select("id").union(shortened(answers)).distinct().select("id", F.lit("truncated").alias("cut_off"))
+    named = rules.select("id", "pair_table", "pair_id", "defect").join(cuts, "id", "left").withColumn("defect", F.coalesce("defect", "cut_off")).filter("defect is not null")
+    rank = F.array_position(F.array(*map(F.lit, RANK)), F.col("defect"))
+    return named.groupBy("pair_table", "pair_id").agg(F.min(F.struct(rank, "defect"))["defect"].alias("defect"))

@@ -1,16 +1,18 @@
 """Texts cut off by a field limit or mid-transfer.
 
-1. Near-copies: min-hash bands over five-word shingles bring copies together, verified pairs are aligned, and the copy
-   whose alignment ends early, inside a sentence, is cut. Copies cut however short, but otherwise equal, are found exactly
-   by sorting.
+1. Near-copies: min-hash bands over five-word shingles bring copies together, verified pairs are aligned word by word, and
+   the copy whose alignment ends early, inside a sentence, is cut. Copies cut however short, but otherwise equal, are found
+   exactly by sorting.
 2. Records without such a copy: structures left open and cut marks are certain; otherwise the closing word is scored by
-   how often that word closes a sentence or entry in the whole corpus, beside stock closings and length-limit spikes.
+   its terminality, how often it closes a sentence or entry in the whole corpus, beside stock closings and length-limit
+   spikes. All measures are rates, so a text's verdict doesn't hang on the size of the table.
 finish_reason is not used: it is partly wrong, and every case it names correctly is seen from the text.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lookup import lookup
 from ..session import cut, cut_table
 
 ENDING = "id string, hash long, length int, kind string, cut boolean, word string, tail string"
@@ -96,24 +99,62 @@ def ending(text: str) -> tuple[str, bool | None, str, str]:
     return "open", None, word, tail
 
 
-def closings(text: str) -> Iterator[tuple[str, str, bool]]:
-    """Every word of a text with the kind of place (entry or prose) and whether it closes it; the text's own end tells nothing and is left out."""
-    lines = text.rstrip().split("\n")
-    for k, line in enumerate(lines):
-        entry = ENTRY.match(line)
-        if entry:
-            w = WORD.findall(line[entry.end() :].lower())
-            done = k < len(lines) - 1
-            for x in w[:-1]:
-                yield "entry", x, False
-            if w and done:
-                yield "entry", w[-1], True
+CLOSES = re.compile(r"([^\W_]+(?:['’][^\W_]+)*)[.!?]")
+MARKED = re.compile(r"^[ \t]*(?:[-*•+]|\d{1,3}[.)])[ \t]+", re.M)
+
+
+class WordCounts:
+    """How often each word stands in a kind of place (entry of a list, prose) and how often it closes it."""
+
+    COLUMNS = ("place", "word", "n", "closed")
+
+    def __init__(self):
+        self.n = {"prose": Counter(), "entry": Counter()}
+        self.closed = {"prose": Counter(), "entry": Counter()}
+
+    def __len__(self) -> int:
+        return len(self.n["prose"]) + len(self.n["entry"])
+
+    def add(self, text: str) -> None:
+        """Count a text; the word that ends it tells nothing and is left out."""
+        low = text.rstrip().lower()
+        prose = low
+        if MARKED.search(low):
+            lines = low.split("\n")
+            entry = [bool(ENTRY.match(x)) for x in lines]
+            for k, line in enumerate(lines):
+                if entry[k]:
+                    w = WORD.findall(line[ENTRY.match(line).end() :])
+                    if w and k < len(lines) - 1:
+                        self.n["entry"][w[-1]] += 1
+                        self.closed["entry"][w[-1]] += 1
+                    self.n["entry"].update(w[:-1])
+            prose = "\n".join(x for x, e in zip(lines, entry) if not e)
+            own_end = not entry[-1]
         else:
-            for m in WORD.finditer(line):
-                after = line[m.end() : m.end() + 3]
-                if k == len(lines) - 1 and m.end() + 4 > len(line.rstrip()):
-                    continue
-                yield "prose", m[0].lower(), bool(after) and after[0] in ".!?"
+            own_end = True
+        words, closers = WORD.findall(prose), CLOSES.findall(prose)
+        if own_end and words:
+            m = re.search(r"([.!?]?)[^\w.!?]{0,3}$", prose)
+            if m[1] and closers and closers[-1] == words[-1]:
+                closers.pop()
+            words.pop()
+        self.n["prose"].update(words)
+        self.closed["prose"].update(closers)
+
+    def take(self) -> dict[str, list]:
+        """The counts as columns; counting starts anew."""
+        keys = [(place, w) for place in ("prose", "entry") for w in self.n[place]]
+        out = {"place": [p for p, _ in keys], "word": [w for _, w in keys], "n": [self.n[p][w] for p, w in keys], "closed": [self.closed[p][w] for p, w in keys]}
+        self.__init__()
+        return out
+
+
+def word_columns(counts: WordCounts, schema: pa.Schema) -> pa.RecordBatch:
+    """The counts as rows of a wider schema, whose other columns are null."""
+    own = counts.take()
+    n = len(own["word"])
+    return pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def ending_columns(texts: list[str | None]) -> list[pa.Array]:
@@ -123,71 +164,101 @@ def ending_columns(texts: list[str | None]) -> list[pa.Array]:
     return [pa.array([hash_of(x) - 2**63 for x in bare], pa.int64()), pa.array(map(len, bare), pa.int32()), *(pa.array([x[k] for x in e], kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.string(), pa.string())))]
 
 
-def endings(rows: DataFrame) -> DataFrame:
-    """rows: id string, text. A scan without a shuffle."""
+SCANNED = f"{ENDING}, tails array<long>, place string, n long, closed long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *ending_columns(b.column(1).to_pylist())], names=["id", *ENDING_NAMES])
-
-    return rows.select("id", "text").mapInArrow(run, ENDING)
 
-
-def word_closings(rows: DataFrame, flush: int = 200_000) -> DataFrame:
-    """place, word, n, closed over all texts; counted per partition first, so a frequent word is a few rows."""
+def scanned(rows: DataFrame, flush: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """Everything that one pass over the texts gives, written once: the endings (ENDING and the keys of the closing words), one row an id and text; and place, word, n, closed over all texts, counted per partition first. rows: id string, text."""
+    names = [*ENDING.replace(",", "").split()[::2], "tails", "place", "n", "closed"]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.int64()]
+    schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        closed: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(n)
-            r = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([closed[k] for k in keys], pa.int64())], names=["place", "word", "n", "closed"])
-            n.clear(), closed.clear()
-            return r
-
+        counts = WordCounts()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for place, w, c in closings(t) if t else ():
-                    n[place, w] += 1
-                    if c:
-                        closed[place, w] += 1
-            if len(n) > flush:
-                yield out()
-        yield out()
-
-    return rows.select("text").mapInArrow(run, "place string, word string, n long, closed long").groupBy("place", "word").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"))
-
-
-def judged(ends: DataFrame, counts: DataFrame, stock: float = 0.01, spike: float = 8.0) -> DataFrame:
-    """id, kind and cut for every ending. ends: as of endings(); counts: as of word_closings().
-
-    A stock closing is a last-four-words tail that at least `stock` of the endings of its kind (and three of them) share;
-    a spike is a length that `spike` times as many endings of that kind have as its neighbours on average. Equal texts
-    count once in both, so that a text repeated under many ids makes neither.
+            texts = b.column(1).to_pylist()
+            for t in texts:
+                if t:
+                    counts.add(t)
+            tails = [closing_keys((x or "").rstrip()) for x in texts]
+            none = [pa.nulls(len(texts), k) for k in kinds[-3:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *ending_columns(texts), pa.array(tails, kinds[7]), *none], schema=schema)
+            if len(counts) > flush:
+                yield word_columns(counts, schema)
+        yield word_columns(counts, schema)
+
+    all_ = cut_table(rows.select("id", "text").mapInArrow(run, SCANNED))
+    return all_.filter("place is null").select(*ENDING.replace(",", "").split()[::2], "tails"), added(all_)
+
+
+def added(counts: DataFrame) -> DataFrame:
+    return counts.filter("place is not null").groupBy("place", "word").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"))
+
+
+def cut_share(scores: list[tuple[float, int]], sure: float = 9.0, doubt: float = 1.0) -> float:
+    """The share of cut endings among open ones, by expectation maximisation over (log likelihood ratio, number) with a weak prior of sure : doubt."""
+    share, total = sure / (sure + doubt), sum(n for _, n in scores) + sure + doubt
+    for _ in range(100):
+        share = (sum(n / (1 + (1 - share) / share * math.exp(-x)) for x, n in scores) + sure) / total
+    return min(share, 1 - 1e-9)
+
+
+def broken(words: DataFrame, counts: DataFrame, at_most: float = 0.01) -> DataFrame:
+    """word of those that are hardly ever whole: as words they make up at most that share of all words that begin so. words: word, distinct."""
+    prose = counts.filter("place = 'prose'")
+    longer = prose.filter(F.length("word") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring("word", F.lit(1), k))).alias("word"), F.col("n").alias("more"))
+    more = longer.groupBy("word").agg(F.sum("more").alias("more"))
+    known = words.join(more, "word").join(prose.select("word", "n"), "word", "left")
+    return known.filter(F.coalesce("n", F.lit(0)) <= at_most * F.col("more")).select("word")
+
+
+def judged(ends: DataFrame, counts: DataFrame, stock: float = 0.01, spike: float = 8.0, finished: float = 0.999) -> DataFrame:
+    """id, kind and cut for every ending. ends: ENDING; counts: place, word, n, closed.
+
+    A word's terminality is the share of its places that it closes, with one place at the overall rate added. An entry or
+    a text with dots is cut if its word closes less than every fourth; one with a full stop only if even the upper 95 %
+    bound of its word's rate (rule of three; other texts that end so count as closed) is a fiftieth of the overall rate.
+    An open ending is scored by the likelihood of its word among all running words against that among closing words, with
+    the share of cut endings estimated from all of them (cut_share): it is cut unless it is finished at odds of `finished`.
+    Short texts and capitals are cut where their word is broken off (broken). A stock closing is a last-four-words tail that
+    at least `stock` of the endings of its kind (and three of them) share; a spike is a length that `spike` times as many
+    endings of that kind have as its neighbours on average. Equal texts count once in all this.
     """
-    kinds = ends.filter(F.col("cut").isNull()).select("kind", "tail", "length", "hash").distinct()
-    tails = kinds.groupBy("kind", "tail").agg(F.count("*").alias("tail_n"))
-    totals = tails.groupBy("kind").agg(F.sum("tail_n").alias("kind_n"))
-    known = tails.join(F.broadcast(totals), "kind").filter((F.col("tail_n") >= 3) & (F.col("tail_n") >= stock * F.col("kind_n"))).select("kind", "tail", F.lit(True).alias("stock"))
-    by_length = kinds.groupBy("kind", "length").agg(F.count("*").alias("here"))
-    near = Window.partitionBy("kind").orderBy("length").rangeBetween(-12, 12)
-    spikes = by_length.withColumn("around", (F.sum("here").over(near) - F.col("here")) / 24.0).filter((F.col("here") >= 5) & (F.col("here") >= spike * F.greatest(F.col("around"), F.lit(0.3)))).select("kind", "length", F.lit(True).alias("spike"))
+    certain = ends.filter("cut is not null").select("id", "kind", "cut")
     place = F.when(F.col("kind") == "entry", "entry").otherwise("prose")
-    c = counts.select("place", "word", "n", ((F.col("closed") + 0.0) / (F.col("n") + 2.0)).alias("closes"))
-    all_ = ends.withColumn("place", place).join(c, ["place", "word"], "left").join(known, ["kind", "tail"], "left").join(spikes, ["kind", "length"], "left")
-    closes, n = F.coalesce(F.col("closes"), F.lit(0.0)), F.coalesce(F.col("n"), F.lit(0))
-    stocky, spiky = F.coalesce(F.col("stock"), F.lit(False)), F.coalesce(F.col("spike"), F.lit(False))
-    verdict = (
-        F.when(F.col("cut").isNotNull(), F.col("cut"))
-        .when(F.col("kind") == "stop", (n >= 2000) & (closes < 0.0003))
-        .when(F.col("kind") == "dots", ~stocky & (spiky | (closes < 0.25)))
-        .when(F.col("kind") == "entry", closes < 0.25)
-        .when(F.col("kind") == "caps", (F.col("word") != "") & ~stocky & (n == 0) & (F.length("word") > 2) & ~F.col("word").rlike("^[ivxlcdm]+$"))
-        .when(F.col("kind") == "short", (n == 0) & ~stocky & (F.length("word") > 0) & ~F.col("word").rlike("^[0-9]+$"))
-        .otherwise(~stocky)
+    kinds = cut_table(ends.filter("cut is null").select("kind", "word", "tail", "length", "hash").distinct())
+    tails = kinds.groupBy("kind", "tail").agg(F.count("*").alias("tail_n"))
+    totals = {r.kind: r.n for r in kinds.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    kind_n = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in totals.items()], F.lit(0))
+    known = tails.filter((F.col("tail_n") >= 3) & (F.col("tail_n") >= stock * kind_n)).select("kind", "tail", F.lit(True).alias("stock"))  # at most 1 / stock a kind
+    by_length = kinds.filter("kind = 'dots'").groupBy("length").agg(F.count("*").alias("here"))
+    around = by_length.select(F.explode(F.sequence(F.col("length") - 12, F.col("length") + 12)).alias("length"), F.col("here").alias("near")).groupBy("length").agg(F.sum("near").alias("near"))
+    spikes = by_length.join(around, "length").filter((F.col("here") >= 5) & (F.col("here") >= spike * F.greatest((F.col("near") - F.col("here")) / 24.0, F.lit(0.3)))).select(F.col("length").alias("dots_length"), F.lit(True).alias("spike"))
+    sums = {r.place: (r.n, r.closed) for r in counts.groupBy("place").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed")).collect()}
+    (n_all, closed_all), base = sums.get("prose", (0, 0)), {k: (c + 0.1) / (n + 1) for k, (n, c) in sums.items()}
+    p = F.when(place == "entry", F.lit(base.get("entry", 0.1))).otherwise(F.lit(base.get("prose", 0.1)))
+    vocabulary = kinds.groupBy("kind", "word").agg(F.count("*").alias("ends")).withColumn("place", place)
+    own = vocabulary.join(counts, ["place", "word"], "left").select("kind", "word", "ends", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("closed", F.lit(0)).alias("closed"), p.alias("base"))
+    running = (F.col("n") - F.col("closed") + 1 - F.col("base")) / F.lit(n_all - closed_all + 1)
+    closing = (F.col("closed") + F.col("base")) / F.lit(closed_all + 1)
+    own = cut_table(own.withColumn("closes", (F.col("closed") + F.col("base")) / (F.col("n") + 1)).withColumn("score", F.log(running / closing)))
+    bins = own.filter("kind = 'open'").groupBy(F.round(F.col("score") * 4).alias("bin")).agg(F.sum("ends").alias("n")).collect()  # a score lies within some 40, so these are few
+    share = cut_share([(r.bin / 4, r.n) for r in bins])
+    odds = F.lit(share / (1 - share)) * F.exp("score")
+    fragment = broken(own.filter("kind in ('caps', 'short')").filter((F.length("word") > 2) & ~F.col("word").rlike("^([ivxlcdm]+|[0-9]+)$")).select("word").distinct(), counts).select("word", F.lit(True).alias("fragment"))
+    least = (
+        F.when(F.col("kind") == "stop", (F.col("closed") + F.col("ends") - 1 + 3) / (F.col("n") + F.col("ends")) < 0.02 * F.col("base"))
+        .when(F.col("kind").isin("dots", "entry"), F.col("closes") < 0.25)
+        .when(F.col("kind").isin("caps", "short"), F.coalesce("fragment", F.lit(False)))
+        .otherwise(odds / (1 + odds) > 1 - finished)
     )
-    return all_.select("id", "kind", verdict.alias("cut"))
+    verdicts = own.join(fragment, "word", "left").select(F.concat_ws(":", "kind", "word").alias("key"), least.alias("likely"))
+    open_ = ends.filter("cut is null").join(F.broadcast(known), ["kind", "tail"], "left")
+    open_ = open_.select("id", "kind", F.coalesce("stock", F.lit(False)).alias("stock"), F.concat_ws(":", "kind", "word").alias("key"), F.when(F.col("kind") == "dots", F.col("length")).alias("dots_length"))
+    scored = lookup(lookup(open_, verdicts, "key"), spikes, "dots_length")
+    likely, spiky = F.coalesce("likely", F.lit(False)), F.coalesce("spike", F.lit(False))
+    verdict = F.when(F.col("kind").isin("stop", "entry"), likely).when(F.col("kind") == "dots", ~F.col("stock") & (spiky | likely)).otherwise(~F.col("stock") & likely)
+    return certain.unionByName(scored.select("id", "kind", verdict.alias("cut")))
 
 
 # --- near-copies ---------------------------------------------------------------------------------------------------
@@ -196,32 +267,46 @@ SEEDS = np.random.default_rng(17).integers(1, 2**63, (2, 80), dtype=np.uint64) |
 TOKEN = re.compile(r"[^\W_]+|[.!?。！？]")
 
 
-def signature(text: str) -> list[int] | None:
-    """80 min-hashes of the five-word shingles; None for fewer than five words."""
-    w = WORD.findall(text.lower())
-    if len(w) < 5:
-        return None
-    h = np.fromiter({hash_of(" ".join(w[k : k + 5])) for k in range(len(w) - 4)}, np.uint64)
-    return ((h[:, None] * SEEDS[0] + SEEDS[1]) >> np.uint64(33)).min(0).astype(np.int32).tolist()
-
-
 def hash_of(s: str) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(s)
 
 
-def ends_early(short: str, long: str) -> bool:
-    """Whether the words of short stop inside a sentence of long: its last whole words are found there, followed by more of the sentence."""
+class Hashes(dict):
+    """The hash of every token seen; emptied when it gets large."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[token] = hash_of(token)
+        return h
+
+
+def ends_early(short: str, long: str, identity: float = 0.8) -> bool:
+    """Whether short, aligned word by word with long, stops inside a word or sentence of it.
+
+    All words of short are aligned with a stretch of long (match 1, change or gap -1), of which at least `identity` must
+    agree; the last word of short may be the beginning of the one in its place. A text that ends with a full stop, lacks no more
+    than the last one of long, or has fewer than six tokens, is not cut.
+    """
     a, b = TOKEN.findall(short.lower()), TOKEN.findall(long.lower())
-    if len(a) < 6 or len(b) <= len(a) - 2 or a[-1] in ".!?。！？":
+    if len(a) < 6 or a[-1] in STOPS:
         return False
-    key = a[-6:-1]
-    for j in range(len(b) - 5):
-        if b[j : j + 5] == key:
-            following = b[j + 5 : j + 7]
-            return bool(following) and following[0] not in ".!?。！？" and (following[0] != a[-1] or len(following) > 1 and following[1] not in ".!?。！？")
-    return False
+    code = {w: k for k, w in enumerate(dict.fromkeys(b))}
+    y = np.fromiter((code[w] for w in b), np.int32, len(b))
+    step = np.arange(len(b) + 1, dtype=np.int32)
+    h = np.zeros(len(b) + 1, np.int32)
+    for i, w in enumerate(a):
+        eq = y == code.get(w, -1) if i < len(a) - 1 else np.fromiter((x.startswith(w) for x in b), bool, len(b))
+        g = np.empty_like(h)
+        g[0] = -i - 1
+        g[1:] = np.maximum(h[:-1] + np.where(eq, 1, -1), h[1:] - 1)
+        h = np.maximum.accumulate(g + step) - step
+    j = int(h.argmax())
+    if j == 0 or h[j] < (2 * identity - 1) * len(a):
+        return False
+    return (b[j - 1] != a[-1] and b[j - 1].startswith(a[-1])) or (j < len(b) and (b[j] not in STOPS or j + 1 < len(b)))
 
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -230,19 +315,41 @@ STOPS = frozenset(".!?。！？")
 SPOTS = 2**27
 
 
-def closing_windows(text: str) -> tuple[int | None, np.ndarray]:
-    """Key of the five tokens before the last one, None where ends_early can't hold; keys of all windows of five that more of the sentence follows."""
+HASHES = Hashes()
+
+
+def windows(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The tokens of a text, their hashes, and a key of every five successive ones."""
     t = TOKEN.findall(text.lower())
-    if len(t) < 6:
-        return None, np.zeros(0, np.uint64)
-    known = {x: hash_of(x) for x in set(t)}
-    h = np.fromiter((known[x] for x in t), np.uint64, len(t))
-    w = np.zeros(len(t) - 5, np.uint64)
+    h = np.fromiter(map(HASHES.__getitem__, t), np.uint64, len(t))
+    return t, h, mixed(h)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    w = np.zeros(max(0, len(h) - 4), np.uint64)
     for k in range(5):
         w += (h[k : k + len(w)] ^ MIX[k]) * MIX[k]
         w ^= w >> np.uint64(29)
-    goes_on = np.fromiter((x not in STOPS for x in t[5:]), bool, len(w))
-    return int(w[-1]) if goes_on[-1] else None, np.unique(w[goes_on])
+    return w
+
+
+def closing_keys(text: str) -> list[int] | None:
+    """Keys of the five tokens before the last one and of the five before those, so that an edit near the cut spoils one only; None where ends_early can't hold."""
+    t = TOKEN.findall(text[-600:].lower()) if len(text) > 600 else TOKEN.findall(text.lower())
+    if len(text) > 600 and len(t) < 12:
+        t = TOKEN.findall(text.lower())
+    if len(t) < 6 or t[-1] in STOPS:
+        return None
+    w = mixed(np.fromiter(map(HASHES.__getitem__, t[-11:]), np.uint64, min(11, len(t))))[:-1]
+    return w[-1:].view(np.int64).tolist() + (w[-6:-5].view(np.int64).tolist() if len(w) >= 6 else [])
+
+
+def signature(tokens: list[str], h: np.ndarray) -> list[int] | None:
+    """80 min-hashes of the five-word shingles, full stops left out; None for fewer than five words."""
+    own = mixed(h[np.fromiter((x not in STOPS for x in tokens), bool, len(tokens))])
+    if not len(own):
+        return None
+    return ((own[:, None] * SEEDS[0] + SEEDS[1]) >> np.uint64(33)).min(0).astype(np.int32).tolist()
 
 
 def joint_keys(windows: np.ndarray, sig: np.ndarray, bands: int) -> np.ndarray:
@@ -270,37 +377,35 @@ def passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def near_copies(rows: DataFrame, bands: int = 16, similarity: float = 0.8) -> DataFrame:
-    """id of texts that are a shortened near-copy of another. rows: id string, text.
+def near_copies(rows: DataFrame, tails: DataFrame | None = None, bands: int = 16, similarity: float = 0.8) -> DataFrame:
+    """id of texts that are a shortened near-copy of another. rows: id string, text; tails: the endings of scanned(), where they are there already.
 
-    Two texts are held against each other where they share a band and the longer one has the closing words of the shorter
-    one with more of the sentence behind them, so every pair of a bucket that ends_early could name is tried, and no
-    other: a hot bucket is parted by the closing words, and nothing of it is left out. Equal texts are no pair.
+    Two texts are held against each other where they share a band and the longer one has closing words of the shorter one,
+    so every pair of a bucket that could show a cut is tried, and no other: a hot bucket is parted by the closing words,
+    and nothing of it is left out. Pairs whose min-hashes agree are aligned (ends_early). Equal texts are no pair.
     """
     spark = rows.sparkSession
     rows = rows.select("id", "text")
-    signed = lambda x: np.asarray(x, np.uint64).view(np.int64)
-
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = {closing_windows((x or "").rstrip())[0] for x in b.column(0).to_pylist()} - {None}
-            yield pa.RecordBatch.from_arrays([pa.array(signed(list(own)), pa.int64())], names=["key"])
-
-    tail_bits = spark.sparkContext.broadcast(key_filter(rows.select("text").mapInArrow(tails, "key long")))
+    tails = scanned(rows)[0] if tails is None else tails
+    tail_bits = spark.sparkContext.broadcast(key_filter(tails.filter("tails is not null").select(F.explode("tails").alias("key")).distinct()))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for b in batches:
-            texts = [(x or "").rstrip() for x in b.column(1).to_pylist()]
-            ends = [closing_windows(x) for x in texts]
-            hits = [signed(w[passes(w, tail_bits.value)]) for _, w in ends]
-            last = [None if k is None else int(signed([k])[0]) for k, _ in ends]
-            sigs = [signature(x) if k is not None or len(w) else None for x, k, w in zip(texts, last, hits)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([hash_of(x) - 2**63 for x in texts], pa.int64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(map(len, texts), pa.int32()), pa.array(last, pa.int64()), pa.array(hits, pa.list_(pa.int64()))],
-                names=["id", "hash", "sig", "size", "tail", "windows"],
-            )
-
-    sigs = cut(rows.mapInArrow(sign, "id string, hash long, sig array<int>, size int, tail long, windows array<long>").filter("sig is not null"))
+            out: list[tuple] = []
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = (x or "").rstrip()
+                t, h, w = windows(x)
+                cut_off = len(t) >= 6 and t[-1] not in STOPS
+                own = [k for k in (len(w) - 2, len(w) - 7) if k >= 0] if cut_off else []  # the places of closing_keys()
+                hit = passes(w, tail_bits.value)
+                hit[own] = False
+                if (own or hit.any()) and (sig := signature(t, h)):
+                    out.append((i, hash_of(x) - 2**63, sig, len(x), w[own].view(np.int64).tolist() or None, np.unique(w[hit]).view(np.int64).tolist()))
+            cols = list(zip(*out)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "hash", "sig", "size", "tails", "windows"])
+
+    sigs = cut_table(rows.mapInArrow(sign, "id string, hash long, sig array<int>, size int, tails array<long>, windows array<long>"))
 
     def keyed(bits):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +420,7 @@ def near_copies(rows: DataFrame, bands: int = 16, similarity: float = 0.8) -> Da
 
         return run
 
-    short = cut_table(sigs.filter("tail is not null").select("hash", "size", "sig", F.array("tail").alias("w")).mapInArrow(keyed(None), "hash long, size int, key long"))
+    short = cut_table(sigs.filter("tails is not null").select("hash", "size", "sig", "tails").mapInArrow(keyed(None), "hash long, size int, key long"))
     joint_bits = spark.sparkContext.broadcast(key_filter(short))
     long = sigs.filter("size(windows) > 0").select("hash", "size", "sig", "windows").mapInArrow(keyed(joint_bits), "hash long, size int, key long")
     long = long.select(F.col("hash").alias("leader"), F.col("size").alias("leader_size"), "key").distinct()
@@ -332,7 +437,7 @@ def near_copies(rows: DataFrame, bands: int = 16, similarity: float = 0.8) -> Da
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([hash_of((x or "").rstrip()) - 2**63 for x in b.column(1).to_pylist()], pa.int64()), b.column(1)], names=["hash", "text"])
 
-    early = F.udf(ends_early, "boolean")
+    early = F.udf(ends_early, "boolean", useArrow=True)
     named = found.select("hash").union(found.select("leader")).distinct()
     ids = sigs.select("id", "hash").join(named, "hash", "left_semi").groupBy("hash").agg(F.min("id").alias("id"))
     t = cut_table(rows.join(ids.select("id").distinct(), "id", "left_semi").mapInArrow(hashed, "hash long, text string").dropDuplicates(["hash"]))
@@ -341,46 +446,55 @@ def near_copies(rows: DataFrame, bands: int = 16, similarity: float = 0.8) -> Da
 
 
 OPEN_END = re.compile(r"""[.!?。！？…][”"'’)\]*_`]*$""")
+#: Stands for a line break while texts are sorted: the last of all characters, so that what goes on in the line comes first.
+LAST = "\U0010ffff"
 
 
-def continued(text: str, following: str) -> bool:
-    """Whether the next text in the order goes on from inside a word or sentence of this one."""
-    return len(text) >= 20 and len(following) > len(text) and following.startswith(text) and following[len(text)] != "\n" and not OPEN_END.search(text)
+def continued(text: str, following: str, least: int = 5) -> bool:
+    """Whether the next text in the order goes on from inside a word or sentence of this one. Fewer than `least` words are no sign of a copy; such a text is judged by its own ending."""
+    if not (len(following) > len(text) and following.startswith(text)) or following[len(text)] == LAST or OPEN_END.search(text):
+        return False
+    return len(WORD.findall(text)) + len(HAN.findall(text)) >= least
 
 
 def shortened(rows: DataFrame) -> DataFrame:
     """id of texts that another text continues inside a word or sentence. rows: id string, text.
 
-    Equal texts are one row first; then the texts are sorted over the cluster, and as all continuations of a text follow
-    it directly, each is held against its next neighbour only. A task gives the texts it finds and the first and last
-    text of its partition; the last is held against the first of the next partition that has any.
+    Equal texts are one row first; then the texts are sorted over the cluster, line breaks last. All continuations of a
+    text follow it directly, those that go on in its line first, so each is held against its next neighbour only. A task
+    gives the texts it finds and the first and last text of its partition; the last is held against the first of the next
+    partition that has any.
     """
+    names = ["part", "what", "h", "n", "text"]
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        last: str | None = None
+        last: tuple | None = None
         for b in batches:
-            out: list[tuple[str, str]] = []
-            for text in b.column(0).to_pylist():
+            out: list[tuple] = []
+            for row in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if last is None:
-                    out.append(("first", text))
-                elif continued(last, text):
-                    out.append(("found", last))
-                last = text
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int32()), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], names=["part", "what", "text"])
+                    out.append((part, "first", *row))
+                elif continued(last[2], row[2]):
+                    out.append((part, "found", *last[:2], None))
+                last = row
+            cols = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array(["last"], pa.string()), pa.array([last], pa.string())], names=["part", "what", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((part, "last", *last), kinds)], names=names)
 
     bare = F.rtrim(F.col("text"))
-    distinct = rows.select(bare.alias("text")).filter("text is not null").distinct()
-    seen = cut(distinct.repartitionByRange("text").sortWithinPartitions("text").mapInArrow(run, "part int, what string, text string"))
-    ends = seen.filter("what <> 'found'").groupBy("part").agg(F.max(F.when(F.col("what") == "first", F.col("text"))).alias("first"), F.max(F.when(F.col("what") == "last", F.col("text"))).alias("text"))
+    keyed = [F.xxhash64(bare).alias("h"), F.length(bare).alias("n")]
+    distinct = rows.filter("text is not null").select(*keyed, F.translate(bare, "\n", LAST).alias("text")).distinct()
+    seen = cut(distinct.repartitionByRange("text").sortWithinPartitions("text").mapInArrow(run, "part int, what string, h long, n int, text string"))
+    of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+    ends = seen.filter("what <> 'found'").groupBy("part").agg(of("first", "text").alias("first"), of("last", "text").alias("text"), of("last", "h").alias("h"), of("last", "n").alias("n"))
     border = ends.withColumn("following", F.lead("first").over(Window.orderBy("part"))).filter("following is not null")
-    found = seen.filter("what = 'found'").select("text").unionByName(border.filter(F.udf(continued, "boolean")("text", "following")).select("text"))
-    same = found.select(F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    return rows.select("id", F.xxhash64(bare).alias("h"), F.length(bare).alias("n")).join(same, ["h", "n"], "left_semi").select("id")
+    found = seen.filter("what = 'found'").select("h", "n").unionByName(border.filter(F.udf(continued, "boolean", useArrow=True)("text", "following")).select("h", "n"))
+    return rows.select("id", *keyed).join(found, ["h", "n"], "left_semi").select("id")
 
 
 def find_truncated(rows: DataFrame, copies: bool = True, stock: float = 0.01) -> DataFrame:
@@ -390,11 +504,11 @@ def find_truncated(rows: DataFrame, copies: bool = True, stock: float = 0.01) ->
     the kind of ending. Null and blank texts give no row; repeated texts are judged alike; an empty table gives none.
     """
     rows = rows.select("id", "text").filter(F.length(F.regexp_replace("text", r"^\s+", "")) > 0)
-    ends = cut(endings(rows).dropDuplicates(["id", "hash"]))
-    out = judged(ends, word_closings(rows), stock)
+    ends, counts = scanned(rows)
+    out = judged(ends.drop("tails").dropDuplicates(["id", "hash"]), counts, stock)
     if not copies:
         return out.select("id", F.col("kind").alias("how"), "cut")
-    shown = near_copies(rows).unionByName(shortened(rows)).distinct().withColumn("shown", F.lit(True))
+    shown = near_copies(rows, ends).unionByName(shortened(rows)).distinct().withColumn("shown", F.lit(True))
     return out.join(shown, "id", "left").select("id", F.when(F.col("shown"), "copy").otherwise(F.col("kind")).alias("how"), (F.col("cut") | F.coalesce("shown", F.lit(False))).alias("cut"))
 
 

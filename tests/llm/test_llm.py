@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,52 @@ def test_bucket_of_many_unlike_texts(spark):
     assert {x.id for x in truncation.near_copies(spark.createDataFrame(rows, "id string, text string")).collect()} == {"cut", "cut2"}
 
 
+def test_recall_of_planted_near_copies(spark):
+    """Lists of entries without full stops, cut between words after edits elsewhere: only the longer copy shows the cut."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    rows, planted = [], set()
+    for k in range(120):
+        full = [word() for _ in range(220)]
+        edited = list(full)
+        for at in r.sample(range(150), 3):
+            edited[at] = word()
+        if k % 3 == 0:
+            edited[190 + k % 8] = word()  # an edit near the cut
+        rows.append((f"full{k}", " ".join(full) + "."))
+        if k < 100:
+            planted.add(f"cut{k}")
+            rows.append((f"cut{k}", " ".join(edited[:205])))
+        else:
+            rows.append((f"whole{k}", " ".join(edited) + "."))
+    got = {x.id for x in truncation.near_copies(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert got <= planted and len(got) >= 0.9 * len(planted)
+
+
+def test_alignment_of_cut_copies():
+    full = "the old mill stood by the river and the miller kept a lamp in the window. he slept badly that year. nobody came."
+    early = truncation.ends_early
+    assert early("the old mill stood by a river and the miller kept a la", full) and early("the old mill stood by the river and the quiet miller kept a lamp in the", full)
+    assert early("the old mill stood by the river and the miller kept a lamp in the window", full)
+    assert not early(full, full) and not early(full[:-1], full) and not early("the old mill stood by the river and the miller kept a lamp in the window.", full)
+    assert not early("a ship went down in the storm and none of the crew was found", full)
+
+
+def test_shortened_beside_a_line_break(spark):
+    t = "The old mill was near a harbour and it had"
+    rows = [("t", t), ("line", t + "\nNew heading"), ("more", t + " more words."), ("short", "The old"), ("short2", "The older mill was here.")]
+    assert [r.id for r in truncation.shortened(spark.createDataFrame(rows, "id string, text string")).collect()] == ["t"]
+
+
+def test_verdicts_do_not_hang_on_the_size(spark):
+    one = [prose(6, k) for k in range(40)] + [prose(6, 50)[:-6], prose(3, 51) + " It was of the", prose(3, 52) + "\n\nEND OF PART II", prose(3, 53) + "\n\nEND OF THE CANDL"]
+    df = spark.createDataFrame([(f"{k}", t) for k, t in enumerate(one)], "id string, text string")
+    many = spark.createDataFrame([(f"{k}", t) for k, t in enumerate(one)] + [(f"x{k}", prose(6, 1000 + k)) for k in range(1500)], "id string, text string")
+    small = {r.id: r.cut for r in truncation.find_truncated(df).collect()}
+    large = {r.id: r.cut for r in truncation.find_truncated(many).collect()}
+    assert {k for k, v in small.items() if v} == {"40", "41", "43"} and all(large[k] == v for k, v in small.items()) and not any(v for k, v in large.items() if k[0] == "x")
+
+
 def test_rates(spark):
     schema = "gen_id long, source string, content string"
     df = spark.createDataFrame([(1, "a", prose(5, 1)), (1, "a", prose(5, 1)), (2, "a", prose(5, 2) + " The old"), (3, None, prose(5, 3)), (4, "b", None)], schema)
@@ -152,6 +199,41 @@ def test_pair_rules(q, a, defect):
     assert pairs.rule(q, a, False) == defect
 
 
+DECLINED = """I am afraid I can't assist with this one.|Sorry, but that is a request I have to refuse.|We are unable to provide instructions of that kind.|I'd rather not talk about it. Thank you for your understanding.|As an AI language model, I cannot give advice on that.
+I must decline. I hope you understand.|Unfortunately, I won't be able to help.|This question cannot be answered here.|I do not feel able to comment on that.|My guidelines do not let me discuss this.|Your request has been denied.|I'm not comfortable writing that.
+I refuse to take part in this.|That topic is outside my remit.|It would not be right for me to reply.|This could harm somebody, so I will not say more.|Some matters are better left unsaid. Let us talk about something else.|I'm sorry. I'm not allowed to share that.
+Lo siento, pero no puedo ayudar con eso.|Je ne peux pas répondre à cette question.|Dabei kann ich nicht helfen.|Mi dispiace, non posso rispondere.|К сожалению, я не могу с этим помочь.|对不起，我无法回答。|Daar kan ik niet op antwoorden.""".replace("\n", "|").split("|")
+ANSWERED = """She could not help laughing, and the boat went on.|He refused the offer and walked home through the rain.|You can't write a villain without knowing his fears. Start with what he loves.|The miller would not answer, so they asked the baker.|I can't say it is easy, but here is how: cut the board first.
+Prefer oak to pine. Oak lasts.|It is not a matter of luck. Keep the ink dry and the nib clean.|"I cannot help you," said the guard. The door stayed shut.|No.|Three steps are needed. Do not skip the second.|My answer is short: rye, water and salt.|Das kann nicht wahr sein, rief der Wirt und lief hinaus.
+The request was simple and the reply was long.|He was declined twice before the harbour took him.|A storm can't be told in one word. Begin with the light going green.""".replace("\n", "|").split("|")
+
+
+def test_refusals_in_words_not_seen_before():
+    found = [t for t in DECLINED if pairs.is_refusal(t)]
+    assert len(found) >= 0.85 * len(DECLINED), set(DECLINED) - set(found)
+    assert not [t for t in ANSWERED if pairs.is_refusal(t)]
+
+
+def test_rules_have_no_limit_of_length():
+    no = "I'm sorry, but I can't help with that. "
+    assert pairs.is_refusal(no * 5) and pairs.is_refusal(no * 200) and not pairs.is_refusal(no * 200 + "Rain falls from clouds.")
+    q = "Explain how rain falls in spring."
+    assert all(pairs.is_copy(q, " ".join([q] * k)) for k in (1, 2, 3, 6, 60, 500)) and pairs.is_copy(q, " ".join(["Explain how the rain falls in spring."] * 50)) and not pairs.is_copy(q, prose(60, 1))
+    assert pairs.is_empty("<answer></answer>" + " " * 500) and pairs.is_empty("<p></p>" * 80 + "\n") and pairs.is_empty("N/A" + "\n" * 300) and not pairs.is_empty("None of them came. " * 20)
+
+
+def test_order_of_defects(spark):
+    pr = spark.createDataFrame([(1, "Write of rain.", "The"), (1, "Write of rain.", ""), (2, "Tell me of the sea and of the ships on it.", "Tell me of the sea and of the ships on it."), (2, "Tell me of the sea and of the ships on it.", "I'm sorry, but I can't help with that.")], "row_id long, prompt string, text string")
+    none = spark.createDataFrame([], "row_id long, instruction string, response string"), spark.createDataFrame([], "result_id long, prompt string, model_response string")
+    assert {r.pair_id: r.defect for r in pairs.find_defects(pairs.pair_rows(*none, pr)).collect()} == {1: "empty", 2: "refusal"}
+
+
+def test_languages_of_doubtful_questions():
+    la = "Spiegami cosa vuole fare la custode in cantina con la mappa."
+    assert pairs.foreign(la, "People in the street have managed it with nothing but a map. Keep the door shut and it will be dry.")
+    assert not pairs.foreign("Describe cleaning a lantern under a tall door.", "Ask a neighbour to hold the glass while you clean it. Work slowly and let it settle before you touch the wick.")
+
+
 def test_defects_over_tables(spark):
     goody = spark.createDataFrame([(k, "Tell me of the sea", prose(6, k)) for k in range(50)] + [(90, "Tell me of the sea", prose(6, 3)[:-12]), (90, "Tell me of the sea", prose(6, 3)[:-12]), (91, "Tell me of the sea", ""), (92, None, prose(2, 1))], "row_id long, instruction string, response string")
     ev = spark.createDataFrame([(1, "Tell me of the sea", "Tell me of the sea")], "result_id long, prompt string, model_response string")
@@ -167,6 +249,7 @@ def test_shortened_against_brute_force(spark):
     df = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, text string")
     inside = lambda t: not re.search(r"[.!?。！？…][\"”'’)\]*_`]*$", t)
     want = {str(k) for k, t in enumerate(texts) if inside(t.rstrip()) and any(u.rstrip() != t.rstrip() and u.startswith(t.rstrip()) for u in texts)}
+    want = {k for k in want if len(texts[int(k)].split()) >= 5}
     assert {x.id for x in truncation.shortened(df).collect()} == want
 
 
@@ -293,7 +376,7 @@ def test_packing(spark):
     texts = [prose(k % 7 + 1, k) for k in range(80)] + [None, "", "字" * 900, prose(200, 5), "x" * 5000]
     docs = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)], "doc_id long, text string, start string").coalesce(2)
     got = packing.pack(docs, 256).collect()
-    enc = packing.encoder(packing.TOKENIZER)
+    enc = packing.encoder(Path(packing.TOKENIZER).read_bytes())
     load, own = defaultdict(int), defaultdict(list)
     for r in got:
         load[r.container_id] += r.n_tokens
@@ -311,6 +394,16 @@ def test_packing(spark):
         packing.pack(docs, 0)
 
 
+def test_tokens_of_long_texts_without_spaces(spark):
+    enc = packing.encoder(Path(packing.TOKENIZER).read_bytes())
+    texts = ["没有人知道字" * 9000, "ab" * 30000, "x y " * 12000]
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1_000_000).collect():
+        assert r.n_tokens == len(enc.encode_ordinary(texts[r.doc_id])) and r.piece_no == 0
+    got = packing.pack(spark.createDataFrame([(0, texts[0])], "doc_id long, text string"), 4000).collect()
+    assert "".join(texts[0][r.start : r.end] for r in sorted(got, key=lambda r: r.piece_no)) == texts[0]
+    assert all(r.n_tokens == len(enc.encode_ordinary(texts[0][r.start : r.end])) <= 4000 for r in got)
+
+
 # --- leaks ---------------------------------------------------------------------------------------------------------
 
 
@@ -323,7 +416,7 @@ def test_alignment_against_a_plain_one():
     r = random.Random(1)
     for _ in range(30):
         a = [r.randrange(12) for _ in range(r.randrange(3, 25))]
-        b = a[: len(a) // 2] + [r.randrange(12)] * r.randrange(2) + a[len(a) // 2 :] + [r.randrange(12) for _ in range(4)]
+        b = a[: len(a) // 2] + [r.randrange(12)] * r.randrange(7) + a[len(a) // 2 :] + [r.randrange(12) for _ in range(4)]
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
@@ -348,7 +441,7 @@ def test_leaks(spark):
     i = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, i).collect()}
     assert got == {(k, 1) for k in (1, 3, 4, 5, 6, 11)}
-    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, i, block=1).collect()} == got
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, i, block_chars=1).collect()} == got
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
 
@@ -365,6 +458,24 @@ def test_verbatim_runs_beside_changed_blocks():
     assert got[0]["span"] == 40 and got[0]["matched"] == 40
 
 
+def test_alignment_over_a_long_insertion():
+    a = np.arange(60, dtype=np.int32)
+    b = np.concatenate([a[:30], np.full(9, -1, np.int32), a[30:]])
+    score, i0, i1, j0, m = leaks.align([a], [b])[0].tolist()
+    assert (score, i0, i1, j0, m) == (60 - 9, 0, 59, 0, 60)
+
+
+def test_seeds_are_rare_among_all_items_whatever_the_blocks(spark):
+    shared = varied(12, 50)
+    items = [(k, " ".join(varied(40, 100 + k) + shared)) for k in range(12)] + [(5, " ".join(varied(40, 400)))]
+    docs = [(k, " ".join(varied(5, 900) + t.split()[:34] + varied(5, 901))) for k, (_, t) in enumerate(items)] + [(50, " ".join(shared * 3))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, item) for k, (item, _) in enumerate(items)}
+    for chars in (300, 8_000_000):
+        assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, i, block_chars=chars).collect()} == want
+    assert len(leaks.item_blocks(i, 300)) > 1 and len(leaks.common_grams(i, 4, 0.01, 12)) == 9
+
+
 def test_words_as_read():
     assert words("Ca​fé  mis-\ntook &amp; <i>Тhе</i> “End”") == ["cafe", "mistook", "the", "end"]
     assert words(None) == [] and words("") == []
