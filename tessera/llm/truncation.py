@@ -28,7 +28,7 @@ from ..session import cut, cut_table
 ENDING = "id string, hash long, length int, kind string, cut boolean, word string, tail string"
 ENDING_NAMES = ["hash", "length", "kind", "cut", "word", "tail"]
 
-MARK = re.compile(r"\s*(?:\[(?:\.\.\.|…|truncated|cut|cut off|continued|snip)\]|\((?:truncated|continued|cut off)\)|<(?:truncated|cut)>|�+|\\u[0-9a-fA-F]{0,3}|\\|<(?:/?[a-zA-Z]\w*)?|&#?\w{0,6})$", re.I)
+MARK = re.compile(r"(?:\[(?:\.\.\.|…|truncated|cut|cut off|continued|snip)\]|\((?:truncated|continued|cut off)\)|<(?:truncated|cut)>|�+|\\u[0-9a-fA-F]{0,3}|\\|<(?:/?[a-zA-Z]\w*)?|&#?\w{0,6})$", re.I)
 DOTS = re.compile(r"""(?:…|\.\.\.)[”"'’)\]*_]*$""")
 CLOSED = re.compile(r"""[.!?。！？؟।][”"'’»)\]*_`~]*$""")
 ENTRY = re.compile(r"\s*(?:[-*•+]|\d{1,3}[.)])\s+")
@@ -47,7 +47,8 @@ def ending(text: str) -> tuple[str, bool | None, str, str]:
     s = text.rstrip(" \t\r\n ​")
     if not s:
         return "none", False, "", ""
-    if MARK.search(s):
+    end = s[-200:]  # longer than every mark
+    if MARK.search(end):
         return "mark", True, "", ""
     body = s.lstrip()
     if body[0] in "{[" and (body[0] == "{" or body[1:2] in ('"', "{", "[", "]") or body[1:2].isdigit()):
@@ -69,17 +70,17 @@ def ending(text: str) -> tuple[str, bool | None, str, str]:
             del still[len(still) - 1 - still[::-1].index(name) :]
     if still and body.startswith("<"):
         return "tag", True, "", ""
-    if s.endswith("```") or re.search(r"</[a-z_][\w-]*>$", s):
+    if s.endswith("```") or (s.endswith(">") and re.search(r"</[a-z_][\w-]*>$", s)):
         return "closed", False, "", ""
     lines = s.split("\n")
     last = lines[-1].strip()
-    low = s[-200:].lower()
+    low = end.lower()
     w = WORD.findall(low)
     word, tail = (w[-1] if w else ""), " ".join(w[-4:])
     odd = (last.count('"') % 2 == 1) or (last.count("“") > last.count("”"))
-    if DOTS.search(s):
+    if DOTS.search(end):
         return "dots", None, word, tail
-    if CLOSED.search(s):
+    if CLOSED.search(end):
         if odd and not s.endswith(('"', "”")):
             return "quote", True, word, tail
         return "stop", None if not HAN.search(s[-3:]) else False, word, tail
@@ -94,12 +95,12 @@ def ending(text: str) -> tuple[str, bool | None, str, str]:
         return "figure", False, word, tail
     if CAPS.match(last) and (before or len(w) <= 12):
         return "caps", None, word, tail
-    if len(WORD.findall(s)) <= 2 and not last.endswith((",", ";", "-")):
+    if len(w) <= 2 and len(WORD.findall(s)) <= 2 and not last.endswith((",", ";", "-")):
         return "short", None, word, tail
     return "open", None, word, tail
 
 
-CLOSES = re.compile(r"([^\W_]+(?:['’][^\W_]+)*)[.!?]")
+STOP = re.compile("[.!?]")
 MARKED = re.compile(r"^[ \t]*(?:[-*•+]|\d{1,3}[.)])[ \t]+", re.M)
 
 
@@ -133,10 +134,17 @@ class WordCounts:
             own_end = not entry[-1]
         else:
             own_end = True
-        words, closers = WORD.findall(prose), CLOSES.findall(prose)
+        words: list[str] = []
+        closers: list[str] = []
+        parts = STOP.split(prose)
+        for k, part in enumerate(parts):
+            w = WORD.findall(part)
+            words += w
+            if w and k < len(parts) - 1 and part[-1].isalnum():
+                closers.append(w[-1])
         if own_end and words:
-            m = re.search(r"([.!?]?)[^\w.!?]{0,3}$", prose)
-            if m[1] and closers and closers[-1] == words[-1]:
+            last = next((p for p in parts[::-1] if p and not p.isspace()), "")
+            if not WORD.search(parts[-1]) and last[-1:].isalnum() and closers and closers[-1] == words[-1]:
                 closers.pop()
             words.pop()
         self.n["prose"].update(words)
@@ -192,7 +200,8 @@ def scanned(rows: DataFrame, flush: int = 200_000) -> tuple[DataFrame, DataFrame
 
 
 def added(counts: DataFrame) -> DataFrame:
-    return counts.filter("place is not null").groupBy("place", "word").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"))
+    """place, word, n, closed summed over all partitions; written, as several sums are taken over them."""
+    return cut_table(counts.filter("place is not null").groupBy("place", "word").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed")))
 
 
 def cut_share(scores: list[tuple[float, int]], sure: float = 9.0, doubt: float = 1.0) -> float:
@@ -234,6 +243,7 @@ def judged(ends: DataFrame, counts: DataFrame, stock: float = 0.01, spike: float
     by_length = kinds.filter("kind = 'dots'").groupBy("length").agg(F.count("*").alias("here"))
     around = by_length.select(F.explode(F.sequence(F.col("length") - 12, F.col("length") + 12)).alias("length"), F.col("here").alias("near")).groupBy("length").agg(F.sum("near").alias("near"))
     spikes = by_length.join(around, "length").filter((F.col("here") >= 5) & (F.col("here") >= spike * F.greatest((F.col("near") - F.col("here")) / 24.0, F.lit(0.3)))).select(F.col("length").alias("dots_length"), F.lit(True).alias("spike"))
+    spikes, known = cut_table(spikes), cut_table(known)
     sums = {r.place: (r.n, r.closed) for r in counts.groupBy("place").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed")).collect()}
     (n_all, closed_all), base = sums.get("prose", (0, 0)), {k: (c + 0.1) / (n + 1) for k, (n, c) in sums.items()}
     p = F.when(place == "entry", F.lit(base.get("entry", 0.1))).otherwise(F.lit(base.get("prose", 0.1)))
@@ -252,10 +262,10 @@ def judged(ends: DataFrame, counts: DataFrame, stock: float = 0.01, spike: float
         .when(F.col("kind").isin("caps", "short"), F.coalesce("fragment", F.lit(False)))
         .otherwise(odds / (1 + odds) > 1 - finished)
     )
-    verdicts = own.join(fragment, "word", "left").select(F.concat_ws(":", "kind", "word").alias("key"), least.alias("likely"))
-    open_ = ends.filter("cut is null").join(F.broadcast(known), ["kind", "tail"], "left")
-    open_ = open_.select("id", "kind", F.coalesce("stock", F.lit(False)).alias("stock"), F.concat_ws(":", "kind", "word").alias("key"), F.when(F.col("kind") == "dots", F.col("length")).alias("dots_length"))
-    scored = lookup(lookup(open_, verdicts, "key"), spikes, "dots_length")
+    verdicts = cut_table(own.join(fragment, "word", "left").select(F.concat_ws(":", "kind", "word").alias("key"), least.alias("likely")))
+    open_ = ends.filter("cut is null").join(F.broadcast(known), ["kind", "tail"], "left").select("id", "kind", F.coalesce("stock", F.lit(False)).alias("stock"), F.concat_ws(":", "kind", "word").alias("key"), F.when(F.col("kind") == "dots", F.col("length")).alias("dots_length"))
+    dots = cut_table(lookup(open_.filter("kind = 'dots'"), spikes, "dots_length"))
+    scored = lookup(open_.filter("kind <> 'dots'").withColumn("spike", F.lit(None).cast("boolean")).unionByName(dots), verdicts, "key")
     likely, spiky = F.coalesce("likely", F.lit(False)), F.coalesce("spike", F.lit(False))
     verdict = F.when(F.col("kind").isin("stop", "entry"), likely).when(F.col("kind") == "dots", ~F.col("stock") & (spiky | likely)).otherwise(~F.col("stock") & likely)
     return certain.unionByName(scored.select("id", "kind", verdict.alias("cut")))
@@ -335,8 +345,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def closing_keys(text: str) -> list[int] | None:
     """Keys of the five tokens before the last one and of the five before those, so that an edit near the cut spoils one only; None where ends_early can't hold."""
-    t = TOKEN.findall(text[-600:].lower()) if len(text) > 600 else TOKEN.findall(text.lower())
-    if len(text) > 600 and len(t) < 12:
+    t = TOKEN.findall(text[-160:].lower())
+    if len(text) > 160 and len(t) < 12:
         t = TOKEN.findall(text.lower())
     if len(t) < 6 or t[-1] in STOPS:
         return None
@@ -391,17 +401,26 @@ def near_copies(rows: DataFrame, tails: DataFrame | None = None, bands: int = 16
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        for b in batches:
+        bits = tail_bits.value
+        for b in (x.slice(k, 1000) for x in batches for k in range(0, x.num_rows, 1000)):
             out: list[tuple] = []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = (x or "").rstrip()
-                t, h, w = windows(x)
-                cut_off = len(t) >= 6 and t[-1] not in STOPS
-                own = [k for k in (len(w) - 2, len(w) - 7) if k >= 0] if cut_off else []  # the places of closing_keys()
-                hit = passes(w, tail_bits.value)
-                hit[own] = False
-                if (own or hit.any()) and (sig := signature(t, h)):
-                    out.append((i, hash_of(x) - 2**63, sig, len(x), w[own].view(np.int64).tolist() or None, np.unique(w[hit]).view(np.int64).tolist()))
+            ids, texts = b.column(0).to_pylist(), [(x or "").rstrip() for x in b.column(1).to_pylist()]
+            tokens = [TOKEN.findall(x.lower()) for x in texts]
+            ends = np.cumsum([len(t) for t in tokens])
+            h = np.fromiter((HASHES[x] for t in tokens for x in t), np.uint64, int(ends[-1]) if len(ends) else 0)
+            w = mixed(h)  # of all texts at once; those that run over an end count for none
+            hit = passes(w, bits)
+            for i, x, t, end in zip(ids, texts, tokens, ends.tolist()):
+                start, n = end - len(t), len(t) - 4
+                if n < 1:
+                    continue
+                own = [start + k for k in (n - 2, n - 7) if k >= 0] if n >= 2 and t[-1] not in STOPS else []  # the places of closing_keys()
+                found = hit[start : start + n]
+                if not own and not found.any():
+                    continue
+                found = start + np.flatnonzero(found)
+                if sig := signature(t, h[start:end]):
+                    out.append((i, hash_of(x) - 2**63, sig, len(x), w[own].view(np.int64).tolist() or None, np.unique(w[found[~np.isin(found, own)]]).view(np.int64).tolist()))
             cols = list(zip(*out)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "hash", "sig", "size", "tails", "windows"])
 
