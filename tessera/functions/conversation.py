@@ -101,9 +101,7 @@ def system_of(conv: Column) -> Column:
 def perspective(conv: Column, own: str, k: int = 8, opening: str | None = None) -> Column:
     """What a role sees of the last k messages: its own as assistant, the others as user; an opening user turn first where its own comes first."""
     seen = F.transform(last_k(conv, k), lambda m: message(F.when(m["role"] == own, "assistant").otherwise("user"), m["content"]))
-    if opening is None:
-        return seen
-    return F.when(F.coalesce(F.try_element_at(seen, F.lit(1))["role"] == "assistant", F.lit(True)), F.concat(F.array(message("user", F.lit(opening))), seen)).otherwise(seen)
+    return seen if opening is None else opened(seen, opening)
 
 
 def tool_text(b: Column) -> Column:
@@ -111,10 +109,33 @@ def tool_text(b: Column) -> Column:
     return (
         F.when(b["type"] == "text", b["text"])
         .when(b["type"] == "tool_use", F.concat(F.lit("<tool_call>"), F.to_json(F.struct(b["name"].alias("name"), b["input"].alias("input"))), F.lit("</tool_call>")))
-        .when(b["type"] == "tool_result", F.concat(F.lit("<tool_result>"), F.coalesce(b["text"], F.lit("")), F.lit("</tool_result>")))
+        .when(b["type"] == "tool_result", F.concat(F.lit("<tool_result>"), F.coalesce(b["text"], b["input"], F.lit("")), F.lit("</tool_result>")))
     )
 
 
+def block_perspective(conv: Column, own: str, k: int = 8, opening: str | None = None, sep: str = "\n") -> Column:
+    """What a role sees of the last k messages of blocks (struct<role, content: array of blocks>), as messages of text.
+
+    Its own messages are the assistant's, the others the user's, with their tool calls and results as tagged text; thinking
+    is in neither. Messages without anything left are dropped; an opening user turn comes first where its own does.
+    """
+    said = lambda m: F.array_join(F.filter(F.transform(F.coalesce(m["content"], F.array()), tool_text), lambda t: t.isNotNull() & (t != "")), sep)
+    seen = F.filter(F.transform(last_k(conv, k), lambda m: message(F.when(m["role"] == own, "assistant").otherwise("user"), said(m))), lambda m: m["content"] != "")
+    return seen if opening is None else opened(seen, opening)
+
+
+def opened(seen: Column, opening: str) -> Column:
+    """A user turn first where an assistant's comes first or there is none."""
+    return F.when(F.coalesce(F.try_element_at(seen, F.lit(1))["role"] == "assistant", F.lit(True)), F.concat(F.array(message("user", F.lit(opening))), seen)).otherwise(seen)
+
+
+def block_transcript(conv: Column) -> Column:
+    """'role: chunk chunk' lines of messages of blocks: texts as they are, a tool call as its tag with the name, results and thinking left out."""
+    chunk = lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "tool_use", F.concat(F.lit("<tool_use name="), b["name"], F.lit(">")))
+    line = lambda m: F.concat(m["role"], F.lit(": "), F.array_join(F.filter(F.transform(F.coalesce(m["content"], F.array()), chunk), lambda t: t.isNotNull()), " "))
+    return F.array_join(F.transform(conv, line), "\n")
+
+
 def transcript(conv: Column) -> Column:
     """'role: text' lines."""
     return F.array_join(F.transform(conv, lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")

@@ -58,6 +58,13 @@ def prefixed_lines(c: Column) -> Column:
     return F.filter(all_of(c, r"(?i)(User:|Task:|API:|Call:|Result:|Agent:)\s*(.*)", 2), lambda x: x != "")
 
 
+def tool_row(c: Column) -> Column:
+    """question, tool_call, call_result and agent_output of a text with exactly four such lines, taken in that order; null for any other."""
+    m = prefixed_lines(c)
+    names = ("question", "tool_call", "call_result", "agent_output")
+    return F.when(F.size(m) == 4, F.struct(*(F.try_element_at(m, F.lit(k + 1)).alias(n) for k, n in enumerate(names))))
+
+
 def fiction_label(c: Column) -> Column:
     """1 for narrative fiction, 0 for anything else named, null without a label; what stands first counts."""
     found = F.lower(F.regexp_extract(c, "(?i)(not narrative fiction|narrative fiction)", 1))
@@ -204,10 +211,10 @@ def json_types(text: str | None) -> dict[str, str] | None:
     return {k: type(v).__name__ for k, v in m.items()} if isinstance(m, dict) else None
 
 
-xml_tags_udf = F.udf(xml_tags, T.MapType(T.StringType(), T.StringType()))
-python_parses_udf = F.udf(python_parses, T.BooleanType())
-literal_map_udf = F.udf(literal_map, T.MapType(T.StringType(), T.DoubleType()))
-json_types_udf = F.udf(json_types, T.MapType(T.StringType(), T.StringType()))
+xml_tags_udf = F.udf(xml_tags, T.MapType(T.StringType(), T.StringType()), useArrow=True)
+python_parses_udf = F.udf(python_parses, T.BooleanType(), useArrow=True)
+literal_map_udf = F.udf(literal_map, T.MapType(T.StringType(), T.DoubleType()), useArrow=True)
+json_types_udf = F.udf(json_types, T.MapType(T.StringType(), T.StringType()), useArrow=True)
 CALL = T.StructType().add("name", T.StringType()).add("args", T.ArrayType(T.StringType())).add("named", T.MapType(T.StringType(), T.StringType()))
-call_parts_udf = F.udf(call_parts, CALL)
+call_parts_udf = F.udf(call_parts, CALL, useArrow=True)
 markdown_parts_udf = F.udf(markdown_parts, T.StructType().add("thoughts", T.ArrayType(T.StringType())).add("code", T.StringType()))

@@ -16,15 +16,18 @@ def slop_index(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: s
     """key, n_tokens, slop of every row: 1000 (w + 2 bi + 8 tri) / n over the words, 0 for a text without words.
 
     phrases: n (1, 2 or 3), phrase (lower case, words joined by spaces); repeats count once. Spark broadcasts the list as
-    long as its size allows and joins by shuffle beyond that. Rows of a key are added up before the shuffle.
+    long as its size allows and joins by shuffle beyond that. Only listed phrases and one row a text with its length are
+    kept for the sums; rows of one key are added up before the shuffle and count as one text.
     """
     toks = docs.select(key, text).select(key, words(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    counted = lambda n: F.transform(ngrams(F.col("t"), n) if n > 1 else F.col("t"), lambda g: F.struct(F.lit(n).alias("n"), g.alias("phrase")))
-    grams = F.concat(*map(counted, (1, 2, 3)))
-    flat = toks.select(key, F.size("t").alias("n_tokens"), F.explode_outer(grams).alias("g")).select(key, "n_tokens", "g.n", "g.phrase")
+    gram = lambda n, g, size: F.struct(F.lit(n).alias("n"), g.alias("phrase"), size.alias("size"))
+    counted = lambda n: F.transform(ngrams(F.col("t"), n) if n > 1 else F.col("t"), lambda g: gram(n, g, F.lit(0)))
+    grams = F.concat(F.array(gram(0, F.lit(""), F.size("t"))), *map(counted, (1, 2, 3)))
+    flat = toks.select(key, F.explode(grams).alias("g")).select(key, "g.n", "g.phrase", "g.size")
     listed = phrases.select(F.col("n").cast("int").alias("n"), "phrase").distinct().withColumn("weight", F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])[F.col("n")])
-    hits = flat.join(listed, ["n", "phrase"], "left")
-    return hits.groupBy(key, "n_tokens").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w")).select(key, "n_tokens", F.when(F.col("n_tokens") > 0, 1000.0 * F.col("w") / F.col("n_tokens")).otherwise(0.0).alias("slop"))
+    hits = flat.join(listed, ["n", "phrase"], "left").filter("n = 0 or weight is not null")
+    sums = hits.groupBy(key).agg(F.sum("size").cast("int").alias("n_tokens"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))
+    return sums.select(key, "n_tokens", F.when(F.col("n_tokens") > 0, 1000.0 * F.col("w") / F.col("n_tokens")).otherwise(0.0).alias("slop"))
 
 
 def antislop(slop: Column) -> Column:
@@ -36,6 +39,11 @@ def total(m: Column) -> Column:
     return F.aggregate(F.filter(F.map_values(m), lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v)
 
 
+def with_slop(m: Column, slop: Column, base: float = 50.0) -> Column:
+    """A score map with the component Slop: base less the slop index. A null map stays null, so that a judge's empty reply nulls its own row only."""
+    return F.map_concat(F.map_filter(m, lambda k, v: k != "Slop"), F.create_map(F.lit("Slop"), F.lit(base) - slop))
+
+
 def judge_reward(m: Column) -> Column:
     """Mean of the scores clamped to 0..20 as a share, to two places; null for no score."""
     v = F.filter(F.map_values(m), lambda x: x.isNotNull())

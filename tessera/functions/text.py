@@ -19,7 +19,9 @@ FRONT_MATTER = (
     r"By\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*", "Contents:?", r"Table\s+of\s+Contents", "Introduction", "Preface", "Foreword", "Dedication", "Acknowledgements?",
     "Copyright", r"Published\s+by", r"First\s+published", r"All\s+rights\s+reserved", "ISBN", r"Illustrated\s+by", r"Edited\s+by", r"Translated\s+by",
 )
-HEADING = "^(?:" + "|".join(rf"{d}\s+[IVXLCDM0-9]+\.?|{d.title()}\s+[IVXLCDMivxlcdm0-9]+\.?" for d in DIVISIONS) + r"|[IVXLCDM]+\.|[0-9]+\.)\s*$"
+#: Matched from the beginning of a paragraph to the end of any of its lines.
+HEADING_LINE = "(?:" + "|".join(rf"{d}\s+[IVXLCDM0-9]+\.?|{d.title()}\s+[IVXLCDMivxlcdm0-9]+\.?" for d in DIVISIONS) + r"|[IVXLCDM]+\.|[0-9]+\.)\s*$"
+HEADING = r"(?md)\A" + HEADING_LINE
 METADATA = "(?i)^(?:" + "|".join(FRONT_MATTER) + r")\s*$"
 EMAIL = r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+"
 IMAGE = r"\.png|\.jpg|\.jpeg|\.gif|picture:"

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor, TimeoutError
 from dataclasses import dataclass, field, fields, replace
 from typing import Any, Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from .tools import run_tool
 
@@ -102,28 +104,30 @@ def client_of(name: str, args: Args = Args()) -> tuple[ModelClient, Args]:
 
 
 class TokenBucket:
-    """Tokens a second, with an estimate of a call's size that follows what calls took (weight 0.2); a call is charged the estimate and then settled."""
+    """Tokens a second, with an estimate of a call's size that follows what calls took (weight 0.2); a call is charged the estimate and then settled. Threads may share one: a charge is booked under a lock, and a call that finds too little waits for its own debt outside it."""
 
     def __init__(self, rate: float, estimate: float = 500.0, weight: float = 0.2, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         self.rate, self.estimate, self.weight, self.clock, self.sleep = rate, estimate, weight, clock, sleep
-        self.level, self.at = rate, clock()
+        self.level, self.at, self.lock = rate, clock(), threading.Lock()
 
     def _fill(self) -> None:
         now = self.clock()
         self.level, self.at = min(max(self.rate, self.estimate), self.level + (now - self.at) * self.rate), now
 
     def take(self) -> float:
-        self._fill()
-        want = self.estimate
-        if self.level < want:
-            self.sleep((want - self.level) / self.rate)
+        with self.lock:
             self._fill()
-        self.level -= want
+            want = self.estimate
+            self.level -= want
+            wait = -self.level / self.rate
+        if wait > 0:
+            self.sleep(wait)
         return want
 
     def settle(self, charged: float, used: float) -> None:
-        self.level += charged - used
-        self.estimate += self.weight * (used - self.estimate)
+        with self.lock:
+            self.level += charged - used
+            self.estimate += self.weight * (used - self.estimate)
 
 
 def parallel_calls(tokens_per_second: float, estimate: float) -> int:
@@ -140,7 +144,7 @@ def attempt(client: ModelClient, messages: list[Message], args: Args, sleep: Cal
         try:
             r = pool.submit(client.complete, messages, args).result(args.timeout_s)
             if bucket:
-                bucket.settle(charged, sum(r.get("usage", {}).values()))
+                bucket.settle(charged, sum(v or 0 for v in r.get("usage", {}).values()))
             return r
         except TimeoutError:
             last = f"no answer within {args.timeout_s} s"
@@ -172,14 +176,16 @@ def generate(client: ModelClient, messages: list[Message], args: Args, seed: int
 
 
 def generate_column(df: DataFrame, key: str, conversation: str, client: str = "hash", args: Args = Args(), tokens_per_second: float | None = None, partitions: int | None = None, workers: int = 4) -> DataFrame:
-    """df with a column `result`. conversation: array of struct<role, content>. The one Python step; call it once and
-    write or checkpoint what it gives, so that no plan asks the model again. A rate is shared by `partitions` tasks, each
-    with its own limiter; rows of a task run in `workers` threads, in order. Null conversations give finish_reason 'error'.
+    """df with a column `result`, row by row as they are read: nothing is joined back, so keys may repeat. conversation:
+    array of struct<role, content>. The one Python step; call it once and write or checkpoint what it gives, so that no
+    plan asks the model again. A rate is shared by `partitions` tasks, each with its own limiter; rows of a task run in
+    `workers` threads, in order. Null conversations give finish_reason 'error'.
     """
     rate = tokens_per_second / partitions if tokens_per_second and partitions else tokens_per_second
     src = df.coalesce(partitions) if partitions else df
+    kind = to_arrow_type(_parse_datatype_string(RESULT))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, own = client_of(client, args)
         bucket = TokenBucket(rate) if rate else None
 
@@ -191,8 +197,7 @@ def generate_column(df: DataFrame, key: str, conversation: str, client: str = "h
 
         with ThreadPoolExecutor(parallel_calls(rate, 500.0) if rate else workers) as pool:
             for b in batches:
-                yield pd.DataFrame({"_key": b["_key"], "result": list(pool.map(one, zip(b["_key"], b["_conv"])))})
+                made = list(pool.map(one, zip(b.column(key).to_pylist(), b.column(conversation).to_pylist())))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], names=[*b.schema.names, "result"])
 
-    kind = df.schema[key].dataType.simpleString()
-    made = src.select(F.col(key).alias("_key"), F.col(conversation).alias("_conv")).mapInPandas(run, f"_key {kind}, result {RESULT}")
-    return df.join(made, F.col(key) == F.col("_key")).drop("_key")
+    return src.mapInArrow(run, StructType([*df.schema.fields, StructField("result", _parse_datatype_string(RESULT))]))

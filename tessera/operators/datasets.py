@@ -11,7 +11,7 @@ from ..functions import code as R
 from ..functions import conversation as C
 from ..functions import extract as X
 from ..functions.text import clean_message
-from .select import hash_share, zip_short
+from .select import hash_share
 
 # Shelves that a book of the wanted kinds must not stand on.
 EXCLUDED_SHELVES = (
@@ -46,8 +46,10 @@ def catalogue(df: DataFrame, language: str = "en") -> DataFrame:
 
 
 def solutions_in(df_solutions: Column, language: int) -> Column:
-    """Solutions in a language from parallel arrays of language and solution."""
-    return F.transform(F.filter(zip_short(df_solutions["language"], df_solutions["solution"]), lambda x: x["0"] == language), lambda x: x["1"])
+    """Solutions in a language from parallel arrays of language and solution, as far as both go."""
+    both = F.zip_with(df_solutions["language"], df_solutions["solution"], lambda a, b: F.struct(a.alias("l"), b.alias("s")))
+    n = F.least(F.size(df_solutions["language"]), F.size(df_solutions["solution"]))
+    return F.transform(F.filter(F.slice(both, 1, n), lambda x: x["l"] == language), lambda x: x["s"])
 
 
 def contest_problems(df: DataFrame, most: int | None = 2501, source: str = "CODEFORCES", language: str = "PYTHON3") -> DataFrame:
@@ -65,6 +67,11 @@ def scene_is_rich(items: Column, least: int = 5, each: int = 2) -> Column:
     return F.coalesce((F.size(a) >= least) & (n("action") >= each) & (n("dialogue") >= each), F.lit(False))
 
 
+def has_lines(c: Column, least: int = 10) -> Column:
+    """At least so many lines; a null text has none."""
+    return F.coalesce(F.size(F.split(c, "\n")) >= least, F.lit(False)) & c.isNotNull()
+
+
 def any_part_contains(messages: Column, what: str) -> Column:
     """Any text block of any message has the string."""
     return F.exists(messages, lambda m: F.exists(F.coalesce(m["content"], F.array()), lambda b: F.coalesce(F.contains(F.lower(b["text"]), F.lit(what)), F.lit(False))))
@@ -162,6 +169,22 @@ def instruction_row(instruction: Column, answer: Column, system: str | None = No
     return F.array(*([C.message("system", F.lit(system))] if system else []), *own)
 
 
+def summary_row(summary: Column, scene: Column) -> Column:
+    """A summary as the request, the scene as the answer."""
+    return F.array(C.message("user", summary), C.message("assistant", scene))
+
+
+def screenplay_row(title: Column, thoughts: Column, script: Column) -> Column:
+    """A title as the request; the thoughts as a list and the script as a fenced block in one Markdown answer."""
+    listed = F.array_join(F.transform(thoughts, lambda t: F.concat(F.lit("- "), t)), "\n")
+    return F.array(C.message("user", title), C.message("assistant", F.concat(listed, F.lit("\n\n```\n"), script, F.lit("\n```"))))
+
+
+def character_row(messages: Column, bot: str) -> Column:
+    """Messages of a chat with a named character: its own as the assistant's with the name before them, the others as the user's."""
+    return F.transform(messages, lambda m: F.when(m["role"] == bot, C.message("assistant", F.concat(F.lit(f"{bot}: "), m["content"]))).otherwise(C.message("user", m["content"])))
+
+
 def call_preferences(expected: DataFrame, submitted: DataFrame, key: str) -> DataFrame:
     """prompt, chosen (the expected call) and rejected (the submitted one) where they differ; both sides have key, prompt or call."""
     both = expected.select(key, "prompt", F.col("call").alias("chosen")).join(submitted.select(key, F.col("call").alias("rejected")), key)

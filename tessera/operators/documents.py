@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from ..functions.text import FRONT_MATTER, HEADING, clean_paragraphs
+from ..functions.text import FRONT_MATTER, HEADING_LINE, clean_paragraphs
 
 # Line starts before the text, after the text, and around legal notes.
 START_MARKERS = (
@@ -95,6 +95,14 @@ def paragraph_chunks(paragraphs: list[str], least: int = 1500, count: Counter =
     return chunks + ([now] if now and size >= least else [])
 
 
+def truncated(text: str | None, most: int = 1536, spans: Callable[[str], list[tuple[int, int]]] | None = None) -> tuple[str | None, int]:
+    """A text of at most `most` tokens and the number of tokens of the whole one. What is cut off takes the paragraph it parts with it; a text of one paragraph that is cut leaves nothing. spans: start and end of each token; words and punctuation marks without it."""
+    if text is None:
+        return None, 0
+    at = spans(text) if spans else [m.span() for m in ROUGH.finditer(text)]
+    return (text if len(at) <= most else "\n\n".join(text[: at[most - 1][1]].split("\n\n")[:-1])), len(at)
+
+
 @dataclass(frozen=True)
 class ContinuationSizes:
     summary_tokens: int = 1024
@@ -104,7 +112,7 @@ class ContinuationSizes:
     summary_words: int = 100
 
 
-HEADING_RX = re.compile(HEADING)
+HEADING_RX = re.compile(HEADING_LINE, re.M)
 FRONT_RX = re.compile("^(?:" + "|".join(FRONT_MATTER) + r")\s*$", re.I)
 
 
@@ -246,6 +254,12 @@ def continuation_rows(df: DataFrame, key: str, sizes: ContinuationSizes = Contin
     return made.select(key, F.posexplode("parts").alias("part_no", "p")).select(key, "part_no", "p.*")
 
 
+def truncate_all(df: DataFrame, key: str, column: str = "text", most: int = 1536) -> DataFrame:
+    """key, text, encoded_length."""
+    made = per_row(df, key, column, lambda t: dict(zip(("text", "encoded_length"), truncated(t, most))), "t", "struct<text:string,encoded_length:int>")
+    return made.select(key, "t.text", "t.encoded_length")
+
+
 def parse_screenplays(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     """key, scenes."""
     return per_row(df, key, column, parse_screenplay, "scenes", f"array<{SCENE}>")

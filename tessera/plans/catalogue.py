@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import conversation_queries, nested_queries, selection_queries, task_queries, text_queries
+from . import conversation_queries, nested_queries, roundtrip_queries, selection_queries, task_queries, text_queries
 from .registry import QUERIES, SQL, Query
 
-__all__ = ["conversation_queries", "nested_queries", "oracle_sql", "queries", "selection_queries", "task_queries", "text_queries"]
+__all__ = ["conversation_queries", "nested_queries", "oracle_sql", "queries", "roundtrip_queries", "selection_queries", "task_queries", "text_queries"]
 
 
 def queries() -> dict[str, Query]:

@@ -114,6 +114,19 @@ def perspectives(spark: SparkSession, folder: str) -> DataFrame:
     return chats(spark, folder).select("row_id", C.transcript(seen).alias("seen"), C.alternates(seen).alias("alternates"))
 
 
+@query(
+    """WITH m AS (SELECT gen_id, i, m FROM (SELECT gen_id, unnest(added_messages[greatest(len(added_messages) - 7, 1):]) AS m, generate_subscripts(added_messages[greatest(len(added_messages) - 7, 1):], 1) AS i FROM (SELECT DISTINCT gen_id, added_messages FROM generations WHERE added_messages IS NOT NULL))),
+            b AS (SELECT gen_id, i, m.role AS role, k, CASE b.type WHEN 'text' THEN b.text WHEN 'tool_use' THEN '<tool_call>' || '{' || concat_ws(',', '"name":' || to_json(b.name)::VARCHAR, '"input":' || to_json(b.input)::VARCHAR) || '}' || '</tool_call>' WHEN 'tool_result' THEN '<tool_result>' || coalesce(b.text, b.input, '') || '</tool_result>' END AS t
+                  FROM (SELECT gen_id, i, m, unnest(m.content) AS b, generate_subscripts(m.content, 1) AS k FROM m)),
+            t AS (SELECT gen_id, i, role, string_agg(t, chr(10) ORDER BY k) AS t FROM b WHERE t <> '' GROUP BY gen_id, i, role)
+       SELECT gen_id, string_agg(CASE role WHEN 'assistant' THEN 'assistant: ' ELSE 'user: ' END || t, chr(10) ORDER BY i) AS seen FROM t GROUP BY gen_id"""
+)
+def block_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    """The last eight messages as the assistant sees them, tools as text; rows that leave nothing are left out."""
+    g = table(spark, folder, "generations").select("gen_id", "added_messages").filter("added_messages is not null").distinct()
+    return g.select("gen_id", C.transcript(C.block_perspective(F.col("added_messages"), "assistant")).alias("seen")).filter("seen <> ''")
+
+
 @query(
     """WITH g AS (SELECT instruction, row_id, response, row_number() OVER (PARTITION BY instruction ORDER BY length(response) DESC, row_id) AS a, row_number() OVER (PARTITION BY instruction ORDER BY length(response), row_id) AS z, count(*) OVER (PARTITION BY instruction) AS n
             FROM (SELECT DISTINCT row_id, instruction, response FROM goody WHERE instruction IS NOT NULL AND response IS NOT NULL))
@@ -131,13 +144,13 @@ def dpo_triplets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '(dungeon_master|player): ', 1) AS r, list_transform(regexp_split_to_array(text, '(?:dungeon_master|player): ')[2:], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS p FROM documents WHERE kind = 'roleplay')
+    r"""WITH d AS (SELECT doc_id, regexp_extract_all(text, '(dungeon_master|player): ', 1) AS r, list_transform(regexp_split_to_array(text, '(?:dungeon_master|player): ')[2:], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS p FROM documents WHERE regexp_matches(text, '(dungeon_master|player): '))
         SELECT doc_id, len(r)::INT AS n_turns, array_to_string(list_transform(range(1, len(r) + 1), lambda i: r[i] || '=' || p[i]), '|') AS turns FROM d"""
 )
 def chat_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Role-play logs cut into turns."""
+    """Every document with turns, cut into them."""
     rx = "(dungeon_master|player): "
-    d = table(spark, folder, "documents").filter("kind = 'roleplay'").select("doc_id", F.regexp_extract_all("text", F.lit(rx), F.lit(1)).alias("r"), F.split("text", "(?:dungeon_master|player): ").alias("p"))
+    d = table(spark, folder, "documents").filter(F.col("text").rlike(rx)).select("doc_id", F.regexp_extract_all("text", F.lit(rx), F.lit(1)).alias("r"), F.split("text", "(?:dungeon_master|player): ").alias("p"))
     both = F.zip_with("r", F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda r, p: F.concat(r, F.lit("="), stripped(p)))
     return d.select("doc_id", F.size("r").alias("n_turns"), F.array_join(both, "|").alias("turns"))
 

@@ -18,14 +18,20 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     return e.withColumn("m", X.literal_map_udf("scores"))
 
 
-@query()
+#: A map of numbers in either notation, taken apart by its pairs; a text without braces is no map.
+SCORES = r"""s AS (SELECT DISTINCT result_id, source, prompt, model_response, scores FROM eval_results), m AS (SELECT result_id, source, regexp_extract_all(scores, '[''"]([^''"]+)[''"]\s*:', 1) AS names, list_transform(regexp_extract_all(scores, ':\s*[''"]?(-?[0-9]+(?:\.[0-9]+)?)', 1), lambda x: x::DOUBLE) AS v FROM s WHERE contains(scores, '{'))"""
+
+
+@query(f"WITH {SCORES}, x AS (SELECT source, unnest(names) AS criterion, unnest(v) AS score FROM m) SELECT source, criterion, count(*)::BIGINT AS n, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0), 6) AS deviation FROM x GROUP BY 1, 2")
 def criterion_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Mean and deviation of each criterion by source; scores are maps kept as text in several notations."""
     c = L.criterion_stats(scored(spark, folder), "source", "m")
     return c.select("source", "criterion", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
-@query()
+@query(
+    f"""WITH {SCORES} SELECT result_id, round(coalesce(list_sum(v), 0), 6)::DOUBLE AS total, CASE WHEN len(v) > 0 THEN round(list_avg(list_transform(v, lambda x: least(greatest(x, 0), 20) / 20.0)), 2) END AS reward, array_to_string(list_sort(names), ',') AS criteria FROM m"""
+)
 def total_scores(spark: SparkSession, folder: str) -> DataFrame:
     s = scored(spark, folder).filter("m is not null")
     return s.select("result_id", F.round(S.total(F.col("m")), 6).alias("total"), S.judge_reward(F.col("m")).alias("reward"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("criteria"))

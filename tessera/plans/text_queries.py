@@ -109,20 +109,29 @@ def clean_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     return b.groupBy("id").agg(F.count("*").alias("kept"), F.sum(F.length("p")).alias("chars"))
 
 
-HEADING_SQL = r"^(?:" + "|".join(rf"{d}\s+[IVXLCDM0-9]+\.?|{d.title()}\s+[IVXLCDMivxlcdm0-9]+\.?" for d in T.DIVISIONS) + r"|[IVXLCDM]+\.|[0-9]+\.)\s*$"
-META_SQL = T.METADATA
-LINES = r"l AS (SELECT doc_id, coalesce(kind, '?') AS kind, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL), w AS (SELECT *, len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')) AS n FROM l)"
+HEADING_SQL = r"(?m)\A(?:(?:CHAPTER|PART|BOOK|ACT|SCENE)\s+[IVXLCDM0-9]+\.?|(?:Chapter|Part|Book|Act|Scene)\s+[IVXLCDMivxlcdm0-9]+\.?|[IVXLCDM]+\.|[0-9]+\.)\s*$"
+FRONT_MATTER_SQL = (
+    r"(?i)\A(?:by\s+[a-z]+(?:\s+[a-z]+)*|contents:?|table\s+of\s+contents|introduction|preface|foreword|dedication|acknowledgements?|copyright|published\s+by|first\s+published|all\s+rights\s+reserved|isbn|illustrated\s+by|edited\s+by|translated\s+by)\s*\z"
+)
+BLOCKS = r"l AS (SELECT doc_id, coalesce(kind, '?') AS kind, regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '^\s+|\s+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL), w AS (SELECT *, len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')) AS n FROM l)"
 HEAD_SQL = f"((length(s) < 100 AND regexp_matches(s, '{HEADING_SQL}')) OR (length(s) < 80 AND upper(s) = s AND lower(s) <> s AND n <= 6))"
-FRONT_SQL = f"(length(s) < 50 AND regexp_matches(s, '{META_SQL}'))"
+FRONT_SQL = f"(length(s) < 50 AND regexp_matches(s, '{FRONT_MATTER_SQL}'))"
 
 
-@query(f"WITH {LINES} SELECT kind, count_if{HEAD_SQL}::BIGINT AS headings, count_if{FRONT_SQL}::BIGINT AS front_matter, count_if(n >= 15 AND NOT {HEAD_SQL} AND NOT {FRONT_SQL})::BIGINT AS narrative FROM w GROUP BY kind")
+@query(f"WITH {BLOCKS} SELECT kind, count_if{HEAD_SQL}::BIGINT AS headings, count_if{FRONT_SQL}::BIGINT AS front_matter, count_if(n >= 15 AND NOT {HEAD_SQL} AND NOT {FRONT_SQL})::BIGINT AS narrative FROM w GROUP BY kind")
 def headings(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").filter("text is not null").select(F.coalesce("kind", F.lit("?")).alias("kind"), F.explode(F.split("text", "\n")).alias("p"))
+    """Paragraphs by what they are."""
+    d = table(spark, folder, "documents").filter("text is not null").select(F.coalesce("kind", F.lit("?")).alias("kind"), F.explode(F.split("text", "\n\n")).alias("p"))
     c = F.col("p")
     return d.groupBy("kind").agg(F.count_if(T.is_chapter_heading(c)).alias("headings"), F.count_if(T.is_metadata(c)).alias("front_matter"), F.count_if(T.is_narrative(c)).alias("narrative"))
 
 
+@query(f"WITH {BLOCKS} SELECT kind, s AS heading, count(*)::BIGINT AS n FROM w WHERE {HEAD_SQL} GROUP BY kind, s")
+def heading_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").filter("text is not null").select(F.coalesce("kind", F.lit("?")).alias("kind"), F.explode(F.split("text", "\n\n")).alias("p"))
+    return d.filter(T.is_chapter_heading(F.col("p"))).groupBy("kind", T.stripped(F.col("p")).alias("heading")).agg(F.count("*").alias("n"))
+
+
 @query(r"SELECT count_if(regexp_matches(text, '[一-鿿]+'))::BIGINT AS with_han, count_if(regexp_matches(text, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+'))::BIGINT AS with_email, count(*)::BIGINT AS n, coalesce(lang, '?') AS lang FROM documents GROUP BY 4")
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").groupBy(F.coalesce("lang", F.lit("?")).alias("lang")).agg(F.count_if(T.has_han(F.col("text"))).alias("with_han"), F.count_if(T.is_email(F.col("text"))).alias("with_email"), F.count("*").alias("n"))
@@ -136,12 +145,19 @@ def message_lines(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "generations").select("gen_id", T.clean_message(F.col("content"), 80).alias("line")).distinct()
 
 
-@query(r"SELECT id, left(regexp_replace(replace(lower(title), ' ', '_'), '[^a-z0-9_]', '', 'g'), 20) AS slug, left(sha256(title), 8) AS short_hash, lower(regexp_replace(replace(title, ' ', ''), '([^A-Z])([A-Z])', '\1_\2', 'g')) AS snake FROM books WHERE title IS NOT NULL AND NOT regexp_matches(title, '[A-Z][A-Z]')")
+@query(r"SELECT id, left(regexp_replace(replace(lower(title), ' ', '_'), '[^a-z0-9_]', '', 'g'), 20) AS slug, left(sha256(title), 8) AS short_hash, lower(array_to_string(list_transform(string_split(title, ''), lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '[A-Z]') THEN '_' || x ELSE x END), '')) AS snake FROM books WHERE title IS NOT NULL")
 def title_names(spark: SparkSession, folder: str) -> DataFrame:
-    b = table(spark, folder, "books").filter("title is not null").filter(~F.col("title").rlike("[A-Z][A-Z]"))
-    joined = F.replace(F.col("title"), F.lit(" "), F.lit(""))
-    snake = F.lower(F.regexp_replace(joined, "([^A-Z])([A-Z])", "$1_$2"))
-    return b.select("id", T.slug(F.col("title")).alias("slug"), T.short_hash(F.col("title")).alias("short_hash"), snake.alias("snake"))
+    t = F.col("title")
+    return table(spark, folder, "books").filter("title is not null").select("id", T.slug(t).alias("slug"), T.short_hash(t).alias("short_hash"), T.snake_case(t).alias("snake"))
+
+
+@query(
+    r"""SELECT id, regexp_replace(replace(regexp_replace(lower(strip_accents(text)), '[ \t]+', ' ', 'g'), chr(10), '\n'), '^\s+|\s+$', '', 'g') AS line FROM books WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7F\x{00C0}-\x{017F}’‘“”–—…]*')"""
+)
+def latin_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Books in Latin letters as single corpus lines; the other scripts, where SQL folds accents another way, are in folded_lines."""
+    b = table(spark, folder, "books").filter("text is not null").filter(F.col("text").rlike(r"\A[\x00-\x7F\x{00C0}-\x{017F}’‘“”–—…]*\z"))
+    return b.select("id", T.corpus_line(F.col("text")).alias("line"))
 
 
 @query()
@@ -190,21 +206,21 @@ def speakers(spark: SparkSession, folder: str) -> DataFrame:
     r"""SELECT step, n::INT AS n, sides::INT AS sides, modifier::INT AS modifier, count(*)::BIGINT AS rolls FROM (
         SELECT m AS step, coalesce(nullif(regexp_extract(m, '^([0-9]*)d([0-9]+)([+-][0-9]+)?$', 1), '')::INT, 1) AS n, regexp_extract(m, '^([0-9]*)d([0-9]+)([+-][0-9]+)?$', 2)::INT AS sides,
                coalesce(nullif(regexp_extract(m, '^([0-9]*)d([0-9]+)([+-][0-9]+)?$', 3), '')::INT, 0) AS modifier
-        FROM (SELECT unnest(regexp_extract_all(text, '[0-9]*d[0-9]+(?:[+-][0-9]+)?')) AS m FROM documents WHERE kind = 'roleplay')) GROUP BY ALL"""
+        FROM (SELECT unnest(regexp_extract_all(text, '[0-9]*d[0-9]+(?:[+-][0-9]+)?')) AS m FROM documents WHERE text IS NOT NULL)) GROUP BY ALL"""
 )
 def dice_rolls(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").filter("kind = 'roleplay'").select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]*d[0-9]+(?:[+-][0-9]+)?"), F.lit(0))).alias("step"))
+    d = table(spark, folder, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]*d[0-9]+(?:[+-][0-9]+)?"), F.lit(0))).alias("step"))
     p = d.select("step", X.dice(F.col("step")).alias("d"))
     return p.groupBy("step", "d.n", "d.sides", "d.modifier").agg(F.count("*").alias("rolls"))
 
 
 @query(
-    r"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(regexp_extract(text, '^[^.]*'), ','), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS s FROM documents WHERE text IS NOT NULL)
+    r"""WITH d AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS s FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, len(s)::INT AS n, array_to_string(s, '|') AS parts FROM d"""
 )
 def comma_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """The comma list before the first full stop of each document as a set."""
-    d = table(spark, folder, "documents").filter("text is not null").select("doc_id", F.regexp_extract("text", "^[^.]*", 0).alias("c"))
+    """The stretches between the commas of each document as a set."""
+    d = table(spark, folder, "documents").filter("text is not null").select("doc_id", F.col("text").alias("c"))
     s = F.array_sort(F.array_distinct(F.filter(F.transform(F.split("c", ","), lambda x: F.trim(x)), lambda x: x != "")))
     return d.select("doc_id", F.size(s).alias("n"), F.array_join(s, "|").alias("parts"))
 
@@ -224,15 +240,14 @@ def continuations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def screenplays(spark: SparkSession, folder: str) -> DataFrame:
-    """Scenes and dialogue of screenplay documents, and which have enough of both."""
-    d = table(spark, folder, "documents").filter("kind = 'screenplay'")
-    p = D.parse_screenplays(d, "doc_id")
+    """Scenes and dialogue of every document that has scene headings, and which have enough of both."""
+    p = D.parse_screenplays(table(spark, folder, "documents"), "doc_id").filter("size(scenes) > 0")
     return p.select("doc_id", F.size("scenes").alias("n_scenes"), F.array_join(F.transform("scenes", lambda s: D.dialogue_text(s["elements"])), "\n\n").alias("dialogue"), D.screenplay_passes(F.col("scenes"), 3, 3).alias("passes"))
 
 
 @query()
 def lines_by_character(spark: SparkSession, folder: str) -> DataFrame:
-    p = D.parse_screenplays(table(spark, folder, "documents").filter("kind = 'screenplay'"), "doc_id")
+    p = D.parse_screenplays(table(spark, folder, "documents"), "doc_id")
     e = p.select("doc_id", F.explode(F.flatten(F.transform("scenes", lambda s: s["elements"]))).alias("e")).filter("e.type = 'dialogue'")
     return e.groupBy("doc_id", F.col("e.character").alias("character")).agg(F.count("*").alias("n_lines"))
 

@@ -17,7 +17,7 @@ def one(spark, value, expr, kind="string"):
     return spark.createDataFrame([(value,)], f"c {kind}").select(expr(F.col("c")).alias("r")).first().r
 
 
-@pytest.mark.parametrize(("line", "is_heading"), [("CHAPTER IV.", True), ("Part 12", True), ("IX.", True), ("3.", True), ("THE LAST HARBOUR", True), ("By the time he arrived, the sun had set.", False), ("", False), ("Chapter of accidents", False), ("12", False)])
+@pytest.mark.parametrize(("line", "is_heading"), [("CHAPTER IV.", True), ("Part 12", True), ("IX.", True), ("3.", True), ("THE LAST HARBOUR", True), ("By the time he arrived, the sun had set.", False), ("", False), ("Chapter of accidents", False), ("12", False), ("CHAPTER I\nThe old mill by the river stood there.", True), ("Book 2\r\nof three", True), ("It began.\nCHAPTER I", False), ("IV.\n\nThe boat", True), ("12.\nand more", True)])
 def test_heading(spark, line, is_heading):
     assert one(spark, line, T.is_chapter_heading) is is_heading
 
@@ -27,6 +27,28 @@ def test_front_matter(spark, line, is_front):
     assert one(spark, line, T.is_metadata) is is_front
 
 
+def test_heading_alike_in_both_forms(spark):
+    for p in ("CHAPTER I\nThe old mill by the river stood there and nobody came near it for a year or more.", "Part 2\nshort", "It began.\nCHAPTER I and then nothing at all happened for a very long while indeed to us", "1.\nhe said that the boat was late and that it did not matter to anyone here"):
+        assert D.narrative(p, 5) is bool(one(spark, p, lambda c: T.is_narrative(c, 5)))
+
+
+def test_truncated():
+    text = "One two three.\n\nFour five six seven.\n\nEight nine."
+    assert D.truncated(text, 100) == (text, 12) and D.truncated(text, 7) == ("One two three.", 12) and D.truncated(text, 2) == ("", 12) and D.truncated(None) == (None, 0) and D.truncated("") == ("", 0)
+
+
+def test_scores_with_slop_and_tool_rows(spark):
+    m = one(spark, {"Clarity": 3.0, "Slop": 1.0}, lambda c: S.with_slop(c, F.lit(8.0)), "map<string,double>")
+    assert m == {"Clarity": 3.0, "Slop": 42.0} and one(spark, None, lambda c: S.with_slop(c, F.lit(8.0)), "map<string,double>") is None
+    assert one(spark, "User: q\nCall: f()\nResult: 3\nAgent: done", X.tool_row).agent_output == "done" and one(spark, "User: q", X.tool_row) is None
+
+
+def test_snake_case(spark):
+    plain = lambda t: "".join("_" + c if k and c.isupper() and c.isascii() else c for k, c in enumerate(t)).lower()
+    for t in ("TheOldMill", "USA Today", "aBC", "X", "", "THE END"):
+        assert one(spark, t, T.snake_case) == plain(t)
+
+
 def test_narrative_needs_words(spark):
     assert one(spark, "He went on and on through the rain until the lamps of the town came into view.", T.is_narrative)
     assert not one(spark, "He went on.", T.is_narrative)
