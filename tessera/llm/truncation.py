@@ -319,44 +319,50 @@ def ends_early(short: str, long: str, identity: float = 0.8) -> bool:
     return (b[j - 1] != a[-1] and b[j - 1].startswith(a[-1])) or (j < len(b) and (b[j] not in STOPS or j + 1 < len(b)))
 
 
-MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+#: Tokens of a closing stretch. A text too short for one is a near-copy only if it is equal so far, which sorting finds.
+STRETCH = 8
 STOPS = frozenset(".!?。！？")
-#: Bits of a filter that is broadcast (16 MB): more keys make it let more through, which the join behind it drops.
-SPOTS = 2**27
+#: Bits of a filter that is broadcast (8 MB): more keys make it let more through, which the join behind it drops.
+SPOTS = 2**26
 
 
 HASHES = Hashes()
 
 
-def windows(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The tokens of a text, their hashes, and a key of every five successive ones."""
-    t = TOKEN.findall(text.lower())
-    h = np.fromiter(map(HASHES.__getitem__, t), np.uint64, len(t))
-    return t, h, mixed(h)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    w = np.zeros(max(0, len(h) - 4), np.uint64)
-    for k in range(5):
+def mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """A key of every n successive hashes."""
+    w = np.zeros(max(0, len(h) - n + 1), np.uint64)
+    for k in range(n):
         w += (h[k : k + len(w)] ^ MIX[k]) * MIX[k]
         w ^= w >> np.uint64(29)
     return w
 
 
+def hashed_tokens(t: list[str]) -> np.ndarray:
+    return np.fromiter(map(HASHES.__getitem__, t), np.uint64, len(t))
+
+
+def own_places(tokens: list[str]) -> list[int]:
+    """Where the closing stretches of a text begin: before its last token, and before that stretch, so that an edit near the cut spoils one only; none where ends_early can't hold."""
+    n = len(tokens) - 1 - STRETCH
+    return [k for k in (n, n - STRETCH) if k >= 0] if tokens and tokens[-1] not in STOPS else []
+
+
 def closing_keys(text: str) -> list[int] | None:
-    """Keys of the five tokens before the last one and of the five before those, so that an edit near the cut spoils one only; None where ends_early can't hold."""
-    t = TOKEN.findall(text[-160:].lower())
-    if len(text) > 160 and len(t) < 12:
+    """The keys of a text's closing stretches; only its last tokens are read."""
+    most = 2 * STRETCH + 1
+    t = TOKEN.findall(text[-240:].lower())
+    if len(text) > 240 and len(t) <= most:  # the first of them may be cut
         t = TOKEN.findall(text.lower())
-    if len(t) < 6 or t[-1] in STOPS:
-        return None
-    w = mixed(np.fromiter(map(HASHES.__getitem__, t[-11:]), np.uint64, min(11, len(t))))[:-1]
-    return w[-1:].view(np.int64).tolist() + (w[-6:-5].view(np.int64).tolist() if len(w) >= 6 else [])
+    t = t[-most:]
+    own = own_places(t)
+    return mixed(hashed_tokens(t), STRETCH)[own].view(np.int64).tolist() if own else None
 
 
 def signature(tokens: list[str], h: np.ndarray) -> list[int] | None:
     """80 min-hashes of the five-word shingles, full stops left out; None for fewer than five words."""
-    own = mixed(h[np.fromiter((x not in STOPS for x in tokens), bool, len(tokens))])
+    own = mixed(h[np.fromiter((x not in STOPS for x in tokens), bool, len(tokens))], 5)
     if not len(own):
         return None
     return ((own[:, None] * SEEDS[0] + SEEDS[1]) >> np.uint64(33)).min(0).astype(np.int32).tolist()
@@ -377,7 +383,9 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     """The bits of all keys (key long), SPOTS of them however many the keys are; built by an aggregation."""
     spot = F.pmod(F.col("key"), F.lit(SPOTS))
     bits = np.zeros(SPOTS // 8, np.uint8)
-    for r in keys.groupBy(F.floor(spot / 32768).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.pmod(spot, F.lit(32768))).alias("bits")).toLocalIterator():
+    spots = keys.select(F.floor(spot / 32768).cast("int").alias("block"), F.pmod(spot, F.lit(32768)).cast("int").alias("at")).distinct()
+    # keys are shuffled, not a bitmap of every task
+    for r in spots.repartition("block").groupBy("block").agg(F.bitmap_construct_agg(F.col("at").cast("long")).alias("bits")).toLocalIterator():
         bits[r.block * 4096 : r.block * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
     return bits
 
@@ -390,14 +398,14 @@ def passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
 def near_copies(rows: DataFrame, tails: DataFrame | None = None, bands: int = 16, similarity: float = 0.8) -> DataFrame:
     """id of texts that are a shortened near-copy of another. rows: id string, text; tails: the endings of scanned(), where they are there already.
 
-    Two texts are held against each other where they share a band and the longer one has closing words of the shorter one,
-    so every pair of a bucket that could show a cut is tried, and no other: a hot bucket is parted by the closing words,
+    Two texts are held against each other where they share a band and the longer one has a closing stretch of the shorter one,
+    so every pair of a bucket that could show a cut is tried, and no other: a hot bucket is parted by the stretches,
     and nothing of it is left out. Pairs whose min-hashes agree are aligned (ends_early). Equal texts are no pair.
     """
     spark = rows.sparkSession
     rows = rows.select("id", "text")
     tails = scanned(rows)[0] if tails is None else tails
-    tail_bits = spark.sparkContext.broadcast(key_filter(tails.filter("tails is not null").select(F.explode("tails").alias("key")).distinct()))
+    tail_bits = spark.sparkContext.broadcast(key_filter(tails.filter("tails is not null").select(F.explode("tails").alias("key"))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -408,13 +416,13 @@ def near_copies(rows: DataFrame, tails: DataFrame | None = None, bands: int = 16
             tokens = [TOKEN.findall(x.lower()) for x in texts]
             ends = np.cumsum([len(t) for t in tokens])
             h = np.fromiter((HASHES[x] for t in tokens for x in t), np.uint64, int(ends[-1]) if len(ends) else 0)
-            w = mixed(h)  # of all texts at once; those that run over an end count for none
+            w = mixed(h, STRETCH)  # of all texts at once; those that run over an end count for none
             hit = passes(w, bits)
             for i, x, t, end in zip(ids, texts, tokens, ends.tolist()):
-                start, n = end - len(t), len(t) - 4
+                start, n = end - len(t), len(t) - STRETCH + 1
                 if n < 1:
                     continue
-                own = [start + k for k in (n - 2, n - 7) if k >= 0] if n >= 2 and t[-1] not in STOPS else []  # the places of closing_keys()
+                own = [start + k for k in own_places(t)]
                 found = hit[start : start + n]
                 if not own and not found.any():
                     continue
