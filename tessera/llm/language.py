@@ -20,40 +20,45 @@ for _lang, _words in MARKERS.items():
         OF.setdefault(_w, []).append(_lang)
 WORD = re.compile(r"[^\W\d_]+")
 SCRIPTS = (("zh", re.compile("[一-鿿]")), ("ru", re.compile("[Ѐ-ӿ]")), ("ja", re.compile("[぀-ヿ]")), ("ar", re.compile("[؀-ۿ]")), ("el", re.compile("[Ͱ-Ͽ]")), ("ko", re.compile("[가-힯]")), ("he", re.compile("[֐-׿]")))
+OTHER_SCRIPT = re.compile("[Ͱ-ϿЀ-ӿ֐-׿؀-ۿ぀-ヿ一-鿿가-힯]")
 ENDINGS = (("en", re.compile(r"[a-z]{3,}(?:ing|ly)\b")), ("de", re.compile(r"[a-z]{3,}(?:ung|lich|keit)\b")), ("it", re.compile(r"[a-z]{3,}(?:zione|mente|ando)\b")), ("nl", re.compile(r"[a-z]{3,}(?:lijk|heid|tje)\b")))
 ACCENTS = (("de", "äöüß"), ("es", "ñ¿¡"), ("fr", "çêèœ"))
 
 
 def votes_of(text: str) -> dict[str, float]:
-    """How much speaks for each language: its script alone, or else function words, shared ones in parts, and endings and letters of its own."""
+    """How much speaks for each language: its script alone, or else function words, shared ones in parts, and letters of its own; endings where that leaves it open."""
     votes: dict[str, float] = {}
-    if not text.isascii():
+    plain = text.isascii()
+    if not plain and OTHER_SCRIPT.search(text):
         letters = sum(map(str.isalpha, text))
         for code, rx in SCRIPTS:
             if len(rx.findall(text)) * 2 > letters:
                 return {code: float(letters)}
-    for w in WORD.findall(text.lower()):
-        own = OF.get(w)
+    low = text.lower()
+    for own in map(OF.get, WORD.findall(low)):
         if own:
             for code in own:
                 votes[code] = votes.get(code, 0) + 1 / len(own)
-    if not text.isascii():
-        low = text.lower()
+    if not plain:
         for code, marks in ACCENTS:
             if any(c in low for c in marks):
                 votes[code] = votes.get(code, 0) + 0.75
-    if text.isascii():
-        low = text.lower()
+    elif decided(votes) is None:
         for code, rx in ENDINGS:
             if rx.search(low):
                 votes[code] = votes.get(code, 0) + 0.5
     return votes
 
 
+def decided(votes: dict[str, float]) -> str | None:
+    """The language that most speaks for, if that is enough and clearly more than for the next."""
+    best = sorted(votes.items(), key=lambda x: -x[1])
+    return best[0][0] if best and best[0][1] >= 1 and (len(best) == 1 or best[0][1] > best[1][1] + 0.3) else None
+
+
 def language(text: str) -> str | None:
     """Language code of a sentence, or None where it can't be told."""
-    best = sorted(votes_of(text).items(), key=lambda x: -x[1])
-    return best[0][0] if best and best[0][1] >= 1 and (len(best) == 1 or best[0][1] > best[1][1] + 0.3) else None
+    return decided(votes_of(text))
 
 
 def rules_out(text: str, code: str) -> bool:

@@ -30,8 +30,8 @@ LEAD = re.compile(r"^\W*(?:(?:sure|certainly|of course|okay|ok|all right|yes)\b[
 
 
 def joined(lines: str) -> re.Pattern:
-    """One pattern of the lines, each of which goes on where the one before stops."""
-    return re.compile("".join(x.strip() for x in lines.splitlines()), re.I)
+    """One pattern for lower-case text of the lines, each of which goes on where the one before stops."""
+    return re.compile("".join(x.strip() for x in lines.splitlines()))
 
 
 # The grammar of declining. A refusal is a negated ability, will or permission with an act of answering, a verb
@@ -79,6 +79,8 @@ def repeats(q: list[str], t: list[str], least: float = 0.66) -> bool:
     """
     k = max(1, round(len(t) / len(q)))
     both = len(t) + k * len(q)
+    if 2 * sum(map(set(q).__contains__, t)) <= least * both:
+        return False
     have, want = Counter(t), Counter(q)
     if 2 * sum(min(n, k * want[w]) for w, n in have.items() if w in want) <= least * both:
         return False
@@ -122,11 +124,11 @@ def sentences(text: str) -> Iterator[str]:
 def is_refusal(answer: str) -> bool:
     """Every sentence declines, excuses or leads up to that, and one declines outside quotes. Texts of any length are read until a sentence says something else."""
     declined = False
-    for s in sentences(answer.replace("’", "'")):
+    for s in sentences(answer.replace("’", "'").lower()):
         if not any(c.isalnum() for c in s):
             continue
         bare = QUOTED.sub(" ", s) if s.count('"') >= 2 or "“" in s or "«" in s else s
-        if REFUSE.search(bare) and not re.search(r"\bbut here\b|\bhere is\b|\bhowever, here\b", bare, re.I):
+        if REFUSE.search(bare) and not re.search(r"\bbut here\b|\bhere is\b|\bhowever, here\b", bare):
             declined = True
         elif not (PARDON.search(bare) or LEADUP.match(bare)):
             return False
