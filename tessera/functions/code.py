@@ -96,7 +96,7 @@ def best_snippet(answer: str | None) -> str | None:
     try:
         ast.parse(answer or "")
         return answer
-    except SyntaxError:
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
 
 
@@ -110,4 +110,4 @@ def as_function_task(prompt: str, code: str, tests: list[str]) -> dict[str, str
 run_code_udf = F.udf(lambda c: run_code(c), RUN)
 run_tests_udf = F.udf(lambda c, t, e: run_tests(c, t, e), TESTED)
 run_cases_udf = F.udf(lambda c, i, o: run_cases(c, i, o), T.ArrayType(T.BooleanType()))
-best_snippet_udf = F.udf(best_snippet, T.StringType())
+best_snippet_udf = F.udf(best_snippet, T.StringType(), useArrow=True)

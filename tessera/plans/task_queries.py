@@ -57,7 +57,7 @@ def best_of_two(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def code_that_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """The last fenced block of every generated text with one: whether it parses, and how its run ended."""
-    g = table(spark, folder, "generations").filter("content like '%```python%'").select("gen_id", "content").distinct()
+    """The code of every generated text that has some (last fenced block, solution, or the whole text): whether it parses, and whether it runs to its end."""
+    g = table(spark, folder, "generations").filter("content is not null").select("gen_id", "content").distinct()
     b = g.select("gen_id", code.best_snippet_udf("content").alias("code")).filter("code is not null")
-    return b.select("gen_id", extract.python_parses_udf("code").alias("parses"), F.length("code").alias("n_chars"))
+    return b.select("gen_id", extract.python_parses_udf("code").alias("parses"), code.run_code_udf("code")["ok"].alias("runs"), F.length("code").alias("n_chars"))
