@@ -30,7 +30,7 @@ def criterion_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SCORES} SELECT result_id, round(coalesce(list_sum(v), 0), 6)::DOUBLE AS total, CASE WHEN len(v) > 0 THEN round(list_avg(list_transform(v, lambda x: least(greatest(x, 0), 20) / 20.0)), 2) END AS reward, array_to_string(list_sort(names), ',') AS criteria FROM m"""
+    f"""WITH {SCORES} SELECT result_id, round(coalesce(list_sum(v), 0), 6)::DOUBLE AS total, CASE WHEN len(v) > 0 THEN round(list_avg(list_transform(v, lambda x: least(greatest(x, 0::DOUBLE), 20::DOUBLE) / 20::DOUBLE))::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE END AS reward, array_to_string(list_sort(names), ',') AS criteria FROM m"""
 )
 def total_scores(spark: SparkSession, folder: str) -> DataFrame:
     s = scored(spark, folder).filter("m is not null")

@@ -225,7 +225,21 @@ def comma_groups(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.size(s).alias("n"), F.array_join(s, "|").alias("parts"))
 
 
-@query()
+#: The latest text of each book with one kind of line break (no book of the tables has a licence header to strip), its kept paragraphs in order with their size in words and punctuation marks, and the fold over them.
+CHUNKS = rf"""latest AS (SELECT id, title, author, regexp_replace(regexp_replace(text, '\r\n|[\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'), '\n$', '') AS text FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY fetched_at DESC NULLS LAST) AS k FROM books WHERE text IS NOT NULL) WHERE k = 1),
+    p AS (SELECT id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM latest),
+    s AS (SELECT *, regexp_replace(p, '^\s+|\s+$', '', 'g') AS s FROM p),
+    t AS (SELECT *, length(s) - length(replace(s, '"', '')) AS q, length(s) - length(replace(s, ':', '')) AS c, (length(s) - length(replace(s, '   ', ''))) // 3 AS n3, length(s) - length(replace(s, chr(9), '')) AS nt,
+        array_to_string(list_transform(string_split(s, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), ' ') AS j FROM s),
+    u AS (SELECT *, (length(j) - length(replace(j, '   ', ''))) // 3 AS j3, length(j) - length(replace(j, chr(9), '')) AS jt FROM t),
+    f AS (SELECT id, i, p, {FLAGS_SQL} FROM u),
+    kept AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS i, p, len(regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+|[^\s\p{{Z}}\p{{L}}\p{{N}}_]'))::INT AS n FROM f WHERE NOT (image OR footnote OR email OR copies OR tabular OR title OR formatted)),
+    walk AS (SELECT id, 0::BIGINT AS i, 0 AS size, 0 AS chunk, FALSE AS taken FROM latest
+             UNION ALL SELECT w.id, w.i + 1, CASE WHEN w.size >= 300 THEN 0 ELSE w.size + k.n END, CASE WHEN w.size >= 300 THEN w.chunk + 1 ELSE w.chunk END, w.size < 300 FROM walk w JOIN kept k ON k.id = w.id AND k.i = w.i + 1),
+    chunks AS (SELECT w.id, w.chunk, string_agg(k.p, chr(10) || chr(10) ORDER BY k.i) AS text, sum(k.n)::INT AS tokens FROM walk w JOIN kept k ON k.id = w.id AND k.i = w.i WHERE w.taken GROUP BY w.id, w.chunk HAVING sum(k.n) >= 300)"""
+
+
+@query(f"WITH RECURSIVE {CHUNKS} SELECT id, c.chunk AS chunk_no, c.text, c.tokens, title, author FROM chunks c JOIN latest USING (id) WHERE c.tokens < 10000")
 def book_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of at least 300 tokens of cleaned paragraphs."""
     b = D.latest_books(table(spark, folder, "books"))
