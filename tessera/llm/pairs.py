@@ -208,7 +208,7 @@ def find_defects(rows: DataFrame, flush: int = 200_000) -> DataFrame:
     rows = rows.select("id", "pair_table", "pair_id", "question", "answer", "both")
     out = ENDING.replace("id string,", "id string, pair_table string, pair_id long, defect string,") + ", place string, n long, closed long"
     all_ = cut_table(rows.mapInArrow(run, out))
-    rules = all_.filter("place is null").select("id", "pair_table", "pair_id", "defect", *ENDING_NAMES).dropDuplicates(["id", "hash", "defect"])
+    rules = cut_table(all_.filter("place is null").select("id", "pair_table", "pair_id", "defect", *ENDING_NAMES).dropDuplicates(["id", "hash", "defect"]))
     answers = rows.select("id", F.col("answer").alias("text")).filter("text is not null")
     ends = rules.filter("defect is null and kind <> 'none'").select("id", *ENDING_NAMES)
     cuts = judged(ends, added(all_)).filter("cut").select("id").union(shortened(answers)).distinct().select("id", F.lit("truncated").alias("cut_off"))

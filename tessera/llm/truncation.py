@@ -532,7 +532,7 @@ def find_truncated(rows: DataFrame, copies: bool = True, stock: float = 0.01) ->
     """
     rows = rows.select("id", "text").filter(F.length(F.regexp_replace("text", r"^\s+", "")) > 0)
     ends, counts = scanned(rows)
-    out = judged(ends.drop("tails").dropDuplicates(["id", "hash"]), counts, stock)
+    out = judged(cut_table(ends.drop("tails").dropDuplicates(["id", "hash"])), counts, stock)  # read several times
     if not copies:
         return out.select("id", F.col("kind").alias("how"), "cut")
     shown = near_copies(rows, ends).unionByName(shortened(rows)).distinct().withColumn("shown", F.lit(True))
