@@ -323,8 +323,9 @@ MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 #: Tokens of a closing stretch. A text too short for one is a near-copy only if it is equal so far, which sorting finds.
 STRETCH = 8
 STOPS = frozenset(".!?。！？")
-#: Bits of a filter that is broadcast (8 MB): more keys make it let more through, which the join behind it drops.
-SPOTS = 2**26
+#: Least and most bits of a filter that is broadcast (1 and 32 MB). It has 16 bits a key or more; only from 16 million keys
+#: on it lets more than two in a hundred through, which the exact join behind it drops.
+SPOTS = 2**23, 2**28
 
 
 HASHES = Hashes()
@@ -380,19 +381,22 @@ def joint_keys(windows: np.ndarray, sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
-    """The bits of all keys (key long), SPOTS of them however many the keys are; built by an aggregation."""
-    spot = F.pmod(F.col("key"), F.lit(SPOTS))
-    bits = np.zeros(SPOTS // 8, np.uint8)
-    spots = keys.select(F.floor(spot / 32768).cast("int").alias("block"), F.pmod(spot, F.lit(32768)).cast("int").alias("at")).distinct()
+    """The bits of all keys (key long, read twice), two a key, SPOTS of them by the number of keys; built by an aggregation."""
+    spots = min(max(1 << (16 * keys.count()).bit_length(), SPOTS[0]), SPOTS[1])
+    spot = F.explode(F.array(F.col("key").bitwiseAND(spots - 1), F.shiftrightunsigned("key", 32).bitwiseAND(spots - 1))).alias("spot")
+    bits = np.zeros(spots // 8, np.uint8)
+    places = keys.select(spot).select(F.floor(F.col("spot") / 32768).cast("int").alias("block"), F.pmod("spot", F.lit(32768)).cast("int").alias("at")).distinct()
     # keys are shuffled, not a bitmap of every task
-    for r in spots.repartition("block").groupBy("block").agg(F.bitmap_construct_agg(F.col("at").cast("long")).alias("bits")).toLocalIterator():
+    for r in places.repartition("block").groupBy("block").agg(F.bitmap_construct_agg(F.col("at").cast("long")).alias("bits")).toLocalIterator():
         bits[r.block * 4096 : r.block * 4096 + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
     return bits
 
 
 def passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    spot = keys & np.uint64(SPOTS - 1)
-    return (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    at = np.uint64(8 * len(bits) - 1)
+    first, second = keys & at, keys >> np.uint64(32) & at
+    there = [bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) for x in (first, second)]
+    return there[0] & there[1] & 1 == 1
 
 
 def near_copies(rows: DataFrame, tails: DataFrame | None = None, bands: int = 16, similarity: float = 0.8) -> DataFrame:
@@ -400,7 +404,8 @@ def near_copies(rows: DataFrame, tails: DataFrame | None = None, bands: int = 16
 
     Two texts are held against each other where they share a band and the longer one has a closing stretch of the shorter one,
     so every pair of a bucket that could show a cut is tried, and no other: a hot bucket is parted by the stretches,
-    and nothing of it is left out. Pairs whose min-hashes agree are aligned (ends_early). Equal texts are no pair.
+    and nothing of it is left out. Keys with bands are made only for the stretches that close one text and stand elsewhere in
+    another, which an exact join of both tells. Pairs whose min-hashes agree are aligned (ends_early). Equal texts are no pair.
     """
     spark = rows.sparkSession
     rows = rows.select("id", "text")
@@ -434,16 +439,24 @@ def near_copies(rows: DataFrame, tails: DataFrame | None = None, bands: int = 16
 
     sigs = cut_table(rows.mapInArrow(sign, "id string, hash long, sig array<int>, size int, tails array<long>, windows array<long>"))
 
+    closing, inside = (sigs.select(F.explode(c).alias("key")).distinct() for c in ("tails", "windows"))
+    both = cut_table(closing.join(inside, "key", "left_semi"))
+    both_bits = spark.sparkContext.broadcast(key_filter(both))
+
     def keyed(bits):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for at in range(0, b.num_rows, 1000):
                     hashes, sizes, keys = [], [], []
                     for h, n, sig, w in zip(*(b.slice(at, 1000).column(k).to_pylist() for k in range(4))):
-                        k = joint_keys(np.array(w, np.int64).view(np.uint64), np.array(sig, np.int64), bands)
+                        w = np.array(w, np.int64).view(np.uint64)
+                        w = w[passes(w, both_bits.value)]
+                        if not len(w):
+                            continue
+                        k = joint_keys(w, np.array(sig, np.int64), bands)
                         k = k if bits is None else k[passes(k, bits.value)]
                         hashes.append(np.full(len(k), h, np.int64)), sizes.append(np.full(len(k), n, np.int32)), keys.append(k.view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in ((hashes, pa.int64()), (sizes, pa.int32()), (keys, pa.int64()))], names=["hash", "size", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in ((hashes, pa.int64()), (sizes, pa.int32()), (keys, pa.int64()))], names=["hash", "size", "key"])
 
         return run
 

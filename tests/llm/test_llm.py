@@ -130,6 +130,16 @@ def test_bucket_of_many_unlike_texts(spark):
     assert {x.id for x in truncation.near_copies(spark.createDataFrame(rows, "id string, text string")).collect()} == {"cut", "cut2"}
 
 
+def test_filter_of_many_keys_keeps_out_others(spark):
+    keys = spark.range(3_000_000).select(F.xxhash64("id").alias("key"))
+    others = np.random.default_rng(1).integers(0, 2**64, 200_000, dtype=np.uint64)
+    own = np.array([r.key for r in keys.limit(1000).collect()], np.int64).view(np.uint64)
+    bits = truncation.key_filter(keys)
+    assert truncation.passes(own, bits).all()
+    assert truncation.passes(others, bits).mean() < 0.02
+    assert not truncation.passes(others, truncation.key_filter(keys.limit(0))).any()
+
+
 def test_recall_of_planted_near_copies(spark):
     """Lists of entries without full stops, cut between words after edits elsewhere: only the longer copy shows the cut."""
     r = random.Random(11)
