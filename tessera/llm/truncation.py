@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lookup import lookup
@@ -39,6 +39,7 @@ CAPS = re.compile(r"[^a-zß-ÿ]*[A-ZÀ-Þ]{2}[^a-zß-ÿ]*$")
 TAG = re.compile(r"<(/?)([a-z_][\w-]*)>")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 HAN = re.compile(r"[぀-ヿ㐀-鿿]")
+STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 LOOSE = frozenset("br hr p li img input meta link".split())
 
 
@@ -55,6 +56,9 @@ def ending(text: str) -> tuple[str, bool | None, str, str]:
         try:
             json.loads(body)
             return "json", False, "", ""
+        except RecursionError:  # nested too deep for the parser: whole if every bracket is closed again
+            bare = STRING.sub("", body)
+            return "json", any(bare.count(a) != bare.count(b) for a, b in ("[]", "{}")), "", ""
         except ValueError:
             if body.count('"') or body[0] == "{":
                 return "json", True, "", ""
@@ -249,7 +253,8 @@ def judged(ends: DataFrame, counts: DataFrame, stock: float = 0.01, spike: float
     p = F.when(place == "entry", F.lit(base.get("entry", 0.1))).otherwise(F.lit(base.get("prose", 0.1)))
     vocabulary = kinds.groupBy("kind", "word").agg(F.count("*").alias("ends")).withColumn("place", place)
     own = vocabulary.join(counts, ["place", "word"], "left").select("kind", "word", "ends", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("closed", F.lit(0)).alias("closed"), p.alias("base"))
-    running = (F.col("n") - F.col("closed") + 1 - F.col("base")) / F.lit(n_all - closed_all + 1)
+    # a closing whose own place is the end of a text counts in closed only, so closed may exceed n
+    running = (F.greatest(F.col("n") - F.col("closed"), F.lit(0)) + 1 - F.col("base")) / F.lit(max(n_all - closed_all, 0) + 1)
     closing = (F.col("closed") + F.col("base")) / F.lit(closed_all + 1)
     own = cut_table(own.withColumn("closes", (F.col("closed") + F.col("base")) / (F.col("n") + 1)).withColumn("score", F.log(running / closing)))
     bins = own.filter("kind = 'open'").groupBy(F.round(F.col("score") * 4).alias("bin")).agg(F.sum("ends").alias("n")).collect()  # a score lies within some 40, so these are few
@@ -497,11 +502,52 @@ def continued(text: str, following: str, least: int = 5) -> bool:
     return len(WORD.findall(text)) + len(HAN.findall(text)) >= least
 
 
+#: Characters in a range of the sort, the most ranges, texts sampled a range, and the characters sampled in all.
+RANGE, RANGES, RANGE_SAMPLE, SAMPLE = 8 * 2**20, 4096, 20, 16 * 2**20
+
+
+def bounds_of(texts: list[str], ranges: int) -> list[str]:
+    """At most ranges - 1 ascending bounds that part the texts evenly; each is the shortest beginning of a text that lies above the text before."""
+    s, out = sorted(set(texts)), []
+    for k in range(1, ranges):
+        at = k * len(s) // ranges
+        if at and (not out or s[at - 1] >= out[-1]):
+            n = next(i for i, c in enumerate(s[at]) if s[at - 1][i : i + 1] != c)
+            out.append(s[at][: n + 1])
+    return out
+
+
+def range_bounds(rows: DataFrame) -> list[str]:
+    """Bounds of the ranges that the texts are sorted in. rows: h long, n int, text.
+
+    Spark's own range partitioning sends the driver 300 whole texts a partition; here the sample, chosen by the hashes, has
+    some SAMPLE characters in all, whatever the number of texts and ranges. Any bounds give the same result, only the sizes differ.
+    """
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ranges = min(-(-size // RANGE), RANGES)
+    if ranges < 2:
+        return []
+    share = min(1.0, RANGE_SAMPLE * ranges / count, SAMPLE / size)
+    return bounds_of([r.text for r in rows.filter(F.pmod("h", F.lit(2**31)) < int(share * 2**31)).select("text").distinct().collect()], ranges)
+
+
+def range_of(text: Column, bounds: list[str]) -> Column:
+    """The number of bounds at or below the text: those of a list of every width-th first, then of the stretch behind."""
+    if not bounds:
+        return F.lit(0)
+    width = math.isqrt(len(bounds)) + 1
+    stretches = [bounds[k : k + width] for k in range(0, len(bounds), width)]
+    below = lambda a: F.size(F.filter(a, lambda b: b <= text))
+    strings = lambda x: F.lit(x) if x else F.array().cast("array<string>")
+    over = below(strings([x[0] for x in stretches[1:]]))
+    return over * width + below(F.element_at(F.array(*map(strings, stretches)), over + 1))
+
+
 def shortened(rows: DataFrame) -> DataFrame:
     """id of texts that another text continues inside a word or sentence. rows: id string, text.
 
-    Equal texts are one row first; then the texts are sorted over the cluster, line breaks last. All continuations of a
-    text follow it directly, those that go on in its line first, so each is held against its next neighbour only. A task
+    Equal texts are one row first; then the texts are sorted over the cluster in ranges (range_bounds), line breaks last. All
+    continuations of a text follow it directly, those that go on in its line first, so each is held against its next neighbour only. A task
     gives the texts it finds and the first and last text of its partition; the last is held against the first of the next
     partition that has any.
     """
@@ -528,8 +574,9 @@ def shortened(rows: DataFrame) -> DataFrame:
 
     bare = F.rtrim(F.col("text"))
     keyed = [F.xxhash64(bare).alias("h"), F.length(bare).alias("n")]
-    distinct = rows.filter("text is not null").select(*keyed, F.translate(bare, "\n", LAST).alias("text")).distinct()
-    seen = cut(distinct.repartitionByRange("text").sortWithinPartitions("text").mapInArrow(run, "part int, what string, h long, n int, text string"))
+    sorted_ = rows.filter("text is not null").select(*keyed, F.translate(bare, "\n", LAST).alias("text"))
+    bounds = range_bounds(sorted_)
+    seen = cut(sorted_.distinct().repartitionById(len(bounds) + 1, range_of(F.col("text"), bounds)).sortWithinPartitions("text").mapInArrow(run, "part int, what string, h long, n int, text string"))
     of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
     ends = seen.filter("what <> 'found'").groupBy("part").agg(of("first", "text").alias("first"), of("last", "text").alias("text"), of("last", "h").alias("h"), of("last", "n").alias("n"))
     border = ends.withColumn("following", F.lead("first").over(Window.orderBy("part"))).filter("following is not null")

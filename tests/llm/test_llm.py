@@ -263,6 +263,51 @@ def test_shortened_against_brute_force(spark):
     assert {x.id for x in truncation.shortened(df).collect()} == want
 
 
+def test_ranges_of_the_sort_against_brute_force(spark, monkeypatch):
+    r = random.Random(11)
+    for k, v in {"RANGE": 400, "RANGES": 150, "SAMPLE": 60_000}.items():
+        monkeypatch.setattr(truncation, k, v, raising=False)
+    same = prose(2, 5)  # a long beginning that most texts share, and one text that is repeated
+    texts = [same * r.randrange(2) + prose(3, k % 60)[: r.randrange(30, 130)].rstrip() + r.choice(["", "\nLine", " 字", " 🙂"]) for k in range(900)] + [same[:-9]] * 300
+    rows = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, text string")
+    keyed = rows.select(F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text")
+    bounds = truncation.range_bounds(keyed)
+    assert 90 < len(bounds) < 150 and bounds == sorted(set(bounds)) and truncation.range_bounds(keyed.limit(0)) == []
+    for some in (bounds, bounds[:1], bounds[:2], bounds[:7], []):
+        got = rows.select("text", truncation.range_of(F.col("text"), some).alias("at")).collect()
+        assert all(x["at"] == sum(b <= x["text"] for b in some) for x in got)
+    ordered = sorted({t.replace("\n", truncation.LAST) for t in texts})
+    want = {a for a, b in zip(ordered, ordered[1:]) if truncation.continued(a, b)}
+    found = {x.id for x in truncation.shortened(rows).collect()}
+    assert len(want) > 20 and found == {str(k) for k, t in enumerate(texts) if t.replace("\n", truncation.LAST) in want}
+
+
+def test_sort_sends_the_driver_few_texts(spark, monkeypatch):
+    for k, v in {"RANGE": 2**20, "SAMPLE": 2**18}.items():
+        monkeypatch.setattr(truncation, k, v, raising=False)
+    df = spark.range(0, 2000, 1, 4).select(F.col("id").cast("string").alias("id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.repeat(F.lit(" amber."), 600)).alias("text"))
+    sc = spark.sparkContext
+
+    def received() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).resultSize() for k in range(stages.size()))
+
+    before = received()
+    assert truncation.shortened(df).count() == 0
+    assert received() - before < 2_000_000  # whole texts of a sample of Spark's own are 5 MB
+
+
+def test_words_that_close_more_often_than_they_stand(spark):
+    texts = [f'{prose(2, k)} "It was a quokka."' for k in range(30)] + ["The quokka had a lamp.", "The lamp was near a quokka"]
+    got = {r.id: r.cut for r in truncation.find_truncated(spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "id string, text string"), copies=False).collect()}
+    assert len(got) == len(texts) and not any(got[str(k)] for k in range(30))
+
+
+def test_deeply_nested_json():
+    assert truncation.ending("[" * 200_000 + "]" * 200_000)[:2] == ("json", False) and truncation.ending('[["]", ' + "[" * 200_000)[:2] == ("json", True)
+
+
 def test_language():
     assert [language(t) for t in ("The rain is on the road", "Der Regen ist auf der Straße", "La pluie est sur la route", "没有人知道", "Это было осенью", "12", "")] == ["en", "de", "fr", "zh", "ru", None, None]
 
